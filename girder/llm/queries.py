@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from girder.llm.features import remainder
+from girder.llm.language_id import identify_language
+from girder.llm.quality_classifier import classify_quality
+from girder.llm.quality_rules import apply_quality_rules
 from girder.llm.scratch import read
+from girder.llm.toxicity import classify_toxicity
 from girder.llm.url_filter import filter_urls
 
 RULES = (
@@ -28,6 +34,25 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    return classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    return classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0)
+
+
 def _sql_values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
 
@@ -55,6 +80,10 @@ FROM parts p LEFT JOIN fitted f USING (page_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
