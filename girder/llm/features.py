@@ -132,23 +132,23 @@ def gather(documents: DataFrame, ids: DataFrame, featurise: Callable, schema: st
 
 
 class Sparse:
-    """Rows of a training sample in CSR form, columns scaled to unit root mean square."""
+    """Rows of a training sample, with the features that ``least_share`` of them have, scaled to unit root mean square."""
 
-    def __init__(self, rows: list, least_rows: int = 2):
+    def __init__(self, rows: list, least_share: float = 0.01):
         index = [np.frombuffer(r["index"], np.int32) for r in rows]
         value = [np.frombuffer(r["value"], np.float32) for r in rows]
         self.n = len(rows)
-        size = FAMILIES * SIZE
         self.row = np.repeat(np.arange(self.n), [len(x) for x in index])
         col = np.concatenate(index) if rows else np.zeros(0, np.int32)
         val = np.concatenate(value).astype(np.float64) if rows else np.zeros(0)
-        seen = np.bincount(col, minlength=size)
-        keep = seen[col] >= min(least_rows, self.n)
-        self.row, self.col, val = self.row[keep], col[keep], val[keep]
-        power = np.bincount(self.col, val * val, size) / max(1, self.n)
-        self.scale = np.where(power > 0, 1 / np.sqrt(power + 1e-6), 0)
+        seen = np.bincount(col, minlength=FAMILIES * SIZE)
+        keep = seen[col] >= max(2, least_share * self.n)
+        self.row, val = self.row[keep], val[keep]
+        self.names, self.col = np.unique(col[keep], return_inverse=True)
+        self.size = len(self.names)
+        power = np.bincount(self.col, val * val, self.size) / max(1, self.n)
+        self.scale = 1 / np.sqrt(power + 1e-5)
         self.val = val * self.scale[self.col]
-        self.size = size
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -157,8 +157,37 @@ class Sparse:
         return np.bincount(self.col, self.val * r[self.row], self.size)
 
 
-def adam(gradient: Callable[[np.ndarray, float], tuple[np.ndarray, float]], size: int, steps: int = 120, rate: float = 0.02) -> tuple[np.ndarray, float]:
-    """Minimise by Adam from zero; ``gradient`` gives the gradients of weights and bias."""
+    def curvature(self, weight: np.ndarray) -> float:
+        """Largest eigenvalue of the second moments under row weights, by power iteration."""
+        v = np.ones(self.size) / max(1.0, self.size) ** 0.5
+        top = 1.0
+        for _ in range(12):
+            v = self.back(weight * self.dot(v))
+            top = float(np.linalg.norm(v)) or 1.0
+            v /= top
+        return top
+
+    def unscaled(self, w: np.ndarray) -> np.ndarray:
+        """Weights of all features for raw frequencies."""
+        out = np.zeros(FAMILIES * SIZE)
+        out[self.names] = w * self.scale
+        return out
+
+
+def descend(gradient: Callable[[np.ndarray, float], tuple[np.ndarray, float]], size: int, curvature: float, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Minimise by accelerated gradient steps of 1 / curvature from zero, so strong features move first."""
+    w, b, lead, lead_b = np.zeros(size), 0.0, np.zeros(size), 0.0
+    for t in range(steps):
+        g, gb = gradient(lead, lead_b)
+        new, new_b = lead - g / curvature, lead_b - gb / curvature
+        pull = t / (t + 3)
+        lead, lead_b = new + pull * (new - w), new_b + pull * (new_b - b)
+        w, b = new, new_b
+    return w, b
+
+
+def adam(gradient: Callable[[np.ndarray, float], tuple[np.ndarray, float]], size: int, steps: int = 120, rate: float = 0.02, floor: float = -np.inf) -> tuple[np.ndarray, float]:
+    """Minimise by Adam from zero; ``gradient`` gives the gradients of weights and bias. Weights stay at ``floor`` or above."""
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -169,5 +198,7 @@ def adam(gradient: Callable[[np.ndarray, float], tuple[np.ndarray, float]], size
         vb += 0.01 * (gb * gb - vb)
         fix, fix2 = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
+        if floor > -np.inf:
+            np.maximum(w, floor, out=w)
         b -= rate * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
     return w, b

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.features import FAMILIES, SIZE, Sparse, adam, gather, labelled_ids, linear_scores, sigmoid, sparse_rows
+from girder.llm.features import FAMILIES, SIZE, Sparse, descend, gather, labelled_ids, linear_scores, sigmoid, sparse_rows
 from girder.llm.textkernel import chunks
 
 SPARSE = "doc_id long, label int, index binary, value binary"
@@ -51,7 +51,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     return float(np.clip(u[at] / max(p[at], 1e-9), 0.01, 0.99))
 
 
-def fit_pu(rows: list) -> tuple[Linear, float]:
+def fit_pu(rows: list, decay: float = 1e-4) -> tuple[Linear, float]:
     """Model and prior from rows labelled 1 (trusted positive) and 0 (unlabelled)."""
     label = np.array([r["label"] for r in rows])
     size = FAMILIES * SIZE
@@ -64,24 +64,26 @@ def fit_pu(rows: list) -> tuple[Linear, float]:
 
     def logistic(w, b):
         r = weight * half * (sigmoid(x.dot(w) + b) - label)
-        return x.back(r) + 1e-4 * w, r.sum()
+        return x.back(r) + decay * w, r.sum()
 
-    w, b = adam(logistic, size, 60)
+    w, b = descend(logistic, x.size, 0.25 * x.curvature(weight) + decay, 60)
     z = x.dot(w) + b
     held = ~half if (~half & (label == 1)).any() and (~half & (label == 0)).any() else half
     prior = estimate_prior(z[held & (label == 1)], z[held & (label == 0)])
     pos, unl = (label == 1) / max(1, (label == 1).sum()), (label == 0) / max(1, (label == 0).sum())
 
     def non_negative(w, b):
-        z = x.dot(w) + b
-        s = sigmoid(z)
-        negative = (unl - prior * pos) @ np.logaddexp(0, z)
-        r = (unl - prior * pos) * s
-        r = prior * pos * (s - 1) + r if negative >= 0 else -r
-        return x.back(r) + 1e-4 * w, r.sum()
-
-    w, b = adam(non_negative, size)
-    return Linear(w * x.scale, b), prior
+        s = sigmoid(x.dot(w) + b)
+        steep = s * (1 - s)
+        r = (unl - prior * pos) * steep
+        if (unl - prior * pos) @ s >= 0:
+            r -= prior * pos * steep
+        else:
+            r = -r
+        return x.back(r) + decay * w, r.sum()
+
+    w, b = descend(non_negative, x.size, 0.1 * x.curvature(np.abs(unl - prior * pos) + prior * pos) + decay)
+    return Linear(x.unscaled(w), b), prior
 
 
 def score_column(model: Linear):

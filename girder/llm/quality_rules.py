@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.features import FAMILIES, SIZE, Sparse, adam, gather, labelled_ids, sigmoid, sparse_rows
+from girder.llm.features import FAMILIES, SIZE, Sparse, descend, gather, labelled_ids, sigmoid, sparse_rows
 from girder.llm.quality_classifier import SPARSE, Linear
 from girder.llm.textkernel import SPACE, U64, Words, chunks, mix, ranges_hash, row_sums, windows_hash
 
@@ -82,7 +82,7 @@ def base_stats(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> dict[s
     }
 
 
-def fit_calibrated(rows: list, counts: dict[int, int]) -> Linear:
+def fit_calibrated(rows: list, counts: dict[int, int], decay: float = 1e-4) -> Linear:
     """Logistic regression on four fifths of the rows, Platt scaling on the rest."""
     label = np.array([r["label"] for r in rows], float)
     size = FAMILIES * SIZE
@@ -97,9 +97,9 @@ def fit_calibrated(rows: list, counts: dict[int, int]) -> Linear:
 
     def logistic(w, b):
         r = weight * train * (sigmoid(x.dot(w) + b) - label)
-        return x.back(r) + 1e-4 * w, r.sum()
+        return x.back(r) + decay * w, r.sum()
 
-    w, b = adam(logistic, size)
+    w, b = descend(logistic, x.size, 0.25 * x.curvature(weight) + decay)
     z, y = (x.dot(w) + b)[spare], label[spare]
     total = {c: counts.get(c, 0) / max(1, (label == c).sum()) for c in (0, 1)}
     share = np.where(y == 1, total[1], total[0])
@@ -111,7 +111,7 @@ def fit_calibrated(rows: list, counts: dict[int, int]) -> Linear:
         hessian = np.array([[h @ (z * z), h @ z], [h @ z, h.sum()]]) + 1e-3 * share.sum() * np.eye(2)
         step = np.linalg.solve(hessian, [r @ z, r.sum()])
         slope, shift = slope - np.clip(step[0], -1, 1), shift - np.clip(step[1], -1, 1)
-    return Linear(w * x.scale, b, max(slope, 1e-3), shift)
+    return Linear(x.unscaled(w), b, max(slope, 1e-3), shift)
 
 
 def judge(model: Linear, threshold: float, least_words: int, most_repeated_percent: int):

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentence scores under a noisy-or.
 
 A document is toxic if at least one of its sentences is: ``P = 1 - prod(1 - p_s)`` with
-``p_s = sigmoid(bias + sum of the weights of the sentence's words)``. Only document labels are known; the
+``p_s = sigmoid(bias + sum of the weights of the sentence's words and of their beginnings)``. Only document labels are known; the
 likelihood of the noisy-or passes them down to the sentences, and the sentence scores then locate what is
 toxic. Words are runs of letters and digits (bytes from 0x80 count as letters) with A-Z folded; sentences end
 at ``.``, ``!``, ``?`` or a line break.
@@ -25,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.llm.features import adam, gather, labelled_ids, sigmoid
-from girder.llm.textkernel import LOWER, U64, Words, chunks, row_sums
+from girder.llm.textkernel import LOWER, U64, Words, chunks, ranges_hash, row_sums
 
 BITS = 19
+PREFIXES = (4, 5, 6, 7, 8)  # bytes
+FACTORS = 1 + len(PREFIXES)
 MOST_WORDS = 50_000
 
 _WORD = np.zeros(256, bool)
@@ -37,7 +39,10 @@ _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
-    """(feature of each word, word offset of each sentence, sentence offset of each row, words) of a chunk."""
+    """(features of the words in turn, feature offset of each sentence, sentence offset of each row, words) of a chunk.
+
+    A word has FACTORS features: itself and its beginnings; feature 0 stands for a beginning that the word is too short for.
+    """
     words = Words(data, offsets, LOWER, _WORD)
     stops = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_STOP[data], out=stops[1:])
@@ -46,7 +51,13 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     new = np.ones(len(number), bool)
     new[1:] = (number[1:] != number[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
-    return (words.hashes >> U64(64 - BITS)).astype(np.int64), np.append(first, len(number)), np.searchsorted(first, words.rows), words
+    index = np.zeros((len(number), FACTORS), np.int64)
+    index[:, 0] = words.hashes >> U64(64 - BITS)
+    for k, size in enumerate(PREFIXES, 1):
+        longer = words.ends - words.starts > size
+        starts = words.starts[longer]
+        index[longer, k] = (ranges_hash(data, starts, starts + size, LOWER) + U64(size)) >> U64(64 - BITS)
+    return index.ravel(), np.append(first, len(number)) * FACTORS, np.searchsorted(first * FACTORS, words.rows * FACTORS), words
 
 
 def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +69,7 @@ def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(row, end - row)
             for k in range(end - row):
                 at = sentence[rows[k] : rows[k + 1] + 1]
-                if len(at) > 1 and at[-1] - at[0] <= MOST_WORDS:
+                if len(at) > 1 and at[-1] - at[0] <= MOST_WORDS * FACTORS:
                     ids.append(part.column("doc_id")[k].as_py())
                     labels.append(part.column("label")[k].as_py())
                     texts.append(words[at[0] : at[-1]].astype(np.int32).tobytes())
@@ -80,8 +91,12 @@ class NoisyOr:
         return -np.expm1(-row_sums(np.logaddexp(0, self.sentence_logits(words, sentence)), rows))
 
 
-def fit_noisy_or(rows: list, counts: dict[int, int], steps: int = 150) -> NoisyOr:
-    """Maximum likelihood with a small quadratic penalty, over words that two documents have."""
+def fit_noisy_or(rows: list, counts: dict[int, int], steps: int = 200, penalty: float = 2e-3, least: int = 3, leak: float = 0.02) -> NoisyOr:
+    """Maximum likelihood under a quadratic penalty, stronger for rarer words, over features that ``least`` toxic documents have,
+    at twice the rate of other documents or more; features only add toxicity.
+
+    ``leak`` is the chance of a toxic label without a toxic sentence: it keeps wrong labels from being learned by heart.
+    """
     size = 1 << BITS
     label = np.array([r["label"] for r in rows])
     if not (label == 1).any() or not (label == 0).any():
@@ -89,8 +104,11 @@ def fit_noisy_or(rows: list, counts: dict[int, int], steps: int = 150) -> NoisyO
     texts = [np.frombuffer(r["words"], np.int32) for r in rows]
     lengths = [np.frombuffer(r["lengths"], np.int32) for r in rows]
     words = np.concatenate(texts)
-    held = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=size)
-    used = held >= 2
+    once = [np.unique(t) for t in texts]
+    held1, held0 = (np.bincount(np.concatenate([u for u, y in zip(once, label, strict=True) if y == c]), minlength=size) for c in (1, 0))
+    held = held0 + held1
+    used = (held1 >= least) & (held1 / (label == 1).sum() > 2 * held0 / (label == 0).sum())
+    used[0] = False
     sentence_of = np.repeat(np.arange(sum(map(len, lengths))), np.concatenate(lengths))
     keep = used[words]
     names, words = np.unique(words[keep], return_inverse=True)
@@ -103,13 +121,14 @@ def fit_noisy_or(rows: list, counts: dict[int, int], steps: int = 150) -> NoisyO
     def gradient(w, b):
         z = b + np.bincount(sentence_of, w[words], n_sentences)
         total = np.bincount(rows_at, np.logaddexp(0, z), len(rows))
-        # -log P for toxic rows, total for the others; d/dtotal of -log(1 - exp(-total)) = -1 / expm1(total)
-        outer = share * np.where(label == 1, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0)
+        # A toxic row's loss is -log(1 - (1 - leak) exp(-total)), another row's is total.
+        clean = (1 - leak) * np.exp(-total)
+        outer = share * np.where(label == 1, -clean / (1 - clean), 1.0)
         r = np.clip(outer[rows_at] * sigmoid(z), -1, 1)
-        return np.bincount(words, r[sentence_of], len(names)) + 2e-6 * w, r.sum()
+        return np.bincount(words, r[sentence_of], len(names)) + penalty / held[names] * w, r.sum()
 
     start = -np.log(max(1.0, n_sentences / len(rows))) - 2.0
-    w, b = adam(lambda w, b: gradient(w, b + start), len(names), steps, 0.1)
+    w, b = adam(lambda w, b: gradient(w, b + start), len(names), steps, 0.1, 0.0)
     weights = np.zeros(size)
     weights[names] = w
     return NoisyOr(weights, b + start)
@@ -140,19 +159,19 @@ def locate(model: NoisyOr, threshold: float):
                     out["doc_id"].append(batch.column("doc_id")[row + k].as_py())
                     out["sentence"].append(int(s - rows[k]))
                     out["score"].append(float(p[s]))
-                    span = data[found.starts[sentence[s]] : found.ends[sentence[s + 1] - 1]]
+                    span = data[found.starts[sentence[s] // FACTORS] : found.ends[sentence[s + 1] // FACTORS - 1]]
                     out["span"].append(span.tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("sentence", pa.int32()), ("score", pa.float64()), ("span", pa.string())]))
 
     return run
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_class: int = 2000) -> NoisyOr:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_class: int = 1500) -> NoisyOr:
     ids, counts = labelled_ids(labels, label, allowed, per_class)
     return fit_noisy_or(gather(documents, ids, instances, "doc_id long, label int, words binary, lengths binary"), counts)
 
 
-def classify_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", per_class: int = 2000) -> DataFrame:
+def classify_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", per_class: int = 1500) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; ``held_out`` is an expression on doc_id."""
     model = fit_toxicity(documents, labels, ~held_out, label, per_class)
     scored = documents.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(score_documents(model), "doc_id long, held_out boolean, score double")
