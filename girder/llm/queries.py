@@ -12,8 +12,9 @@ from girder.llm.features import remainder
 from girder.llm.language_id import identify_language
 from girder.llm.quality_classifier import classify_quality
 from girder.llm.quality_rules import apply_quality_rules
-from girder.llm.scratch import read
+from girder.llm.scratch import Scratch, read
 from girder.llm.toxicity import classify_toxicity
+from girder.llm.warc import plan_records, read_records, write_archives
 from girder.llm.url_filter import filter_urls
 
 RULES = (
@@ -55,6 +56,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    folder = scratch.path("archives")
+    index = scratch.save(write_archives(plan_records(read(spark, sf_dir, "pages")), folder), "index")
+    records = read_records(index, folder, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 0
     return classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
@@ -88,15 +97,28 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM parts p LEFT JOIN fitted f USING (page_id)
 """
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS hex FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM d)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + ((('0x' || substr(hex, CAST((i // 4) * 5 + 1 AS INT), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1) FOR i IN range(0, 32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM w
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op6_bpe": op6_bpe,
+    "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
+    "op8_warc": OP8_SQL,
 }
