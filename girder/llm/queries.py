@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from girder.llm import bpe
 from girder.llm.features import remainder
+from girder.llm.jaccard_join import jaccard_components
 from girder.llm.language_id import identify_language
 from girder.llm.quality_classifier import classify_quality
 from girder.llm.quality_rules import apply_quality_rules
@@ -46,6 +47,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
