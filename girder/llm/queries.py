@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import bpe
+from girder.llm import bpe, decontaminate
 from girder.llm.features import remainder
 from girder.llm.jaccard_join import jaccard_components
 from girder.llm.language_id import identify_language
@@ -37,6 +37,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 3) == 1
     return classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
@@ -102,6 +106,20 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM parts p LEFT JOIN fitted f USING (page_id)
 """
 
+_SHINGLES_SQL = r"""
+{name}_words AS (SELECT {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table} WHERE text IS NOT NULL),
+{name}_sets AS (
+  SELECT DISTINCT {id}, unnest([array_to_string(w[k:k + {width} - 1], ' ') FOR k IN range(1, len(w) - {width} + 2)]) AS shingle
+  FROM {name}_words WHERE len(w) >= {width}
+)"""
+
+OP2_SQL = f"""
+WITH {_SHINGLES_SQL.format(name="i", id="item_id", table="benchmark", width=5)}, {_SHINGLES_SQL.format(name="d", id="doc_id", table="documents", width=5)},
+sizes AS (SELECT item_id, count(*) AS n_item_shingles FROM i_sets GROUP BY item_id),
+met AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d_sets JOIN i_sets USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item_shingles, n_shared FROM met JOIN sizes USING (item_id) WHERE 100 * n_shared >= 75 * n_item_shingles
+"""
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS hex FROM p),
@@ -116,6 +134,7 @@ FROM w
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
@@ -126,5 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
+    "op2_benchmark_decontamination": OP2_SQL,
     "op8_warc": OP8_SQL,
 }
