@@ -14,6 +14,7 @@ from girder.llm.language_id import identify_language
 from girder.llm.quality_classifier import classify_quality
 from girder.llm.quality_rules import apply_quality_rules
 from girder.llm.scratch import Scratch, read
+from girder.llm.suffix_dedup import removed_report
 from girder.llm.toxicity import classify_toxicity
 from girder.llm.warc import plan_records, read_records, write_archives
 from girder.llm.url_filter import filter_urls
@@ -65,6 +66,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_report(read(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     folder = scratch.path("archives")
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_bpe": op6_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,

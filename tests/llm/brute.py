@@ -38,3 +38,23 @@ def components(docs: list[tuple[int, str | None]], percent: int = 75) -> dict[in
                 a, b = sorted((find(d), find(sets[j][0])))
                 root[b] = a
     return {d: (len(s), find(d)) for d, s in sets}
+
+
+def removed(docs: list[tuple[int, str | None]], length: int = 50) -> dict[int, tuple[int, int, int, bytes]]:
+    """doc_id -> (bytes, removed bytes, removed runs, kept bytes) from a table of the least document of every window."""
+    texts = [(d, (t or "").encode()) for d, t in docs]
+    least: dict[bytes, int] = {}
+    for d, t in texts:
+        for k in range(len(t) - length + 1):
+            w = t[k : k + length]
+            if least.get(w, d) >= d:
+                least[w] = d
+    out = {}
+    for d, t in texts:
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if least[t[k : k + length]] < d:
+                gone[k : k + length] = b"\1" * length
+        runs = len([x for x in bytes(gone).split(b"\0") if x])
+        out[d] = (len(t), sum(gone), runs, bytes(c for c, g in zip(t, gone, strict=True) if not g))
+    return out
