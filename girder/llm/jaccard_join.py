@@ -298,3 +298,12 @@ class JaccardJoin:
 def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     return JaccardJoin(documents, width, percent).run()
+
+
+def keep_representatives(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The documents with all their columns, but of each link component only the one with the least doc_id.
+
+    Rows with a null doc_id and documents without words stay.
+    """
+    gone = jaccard_components(documents, width, percent).where("doc_id != component_id").select("doc_id").distinct()
+    return documents.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)

@@ -139,3 +139,16 @@ def apply_quality_rules(
     ids, counts = labelled_ids(labels, label, F.lit(True), per_class)
     model = fit_calibrated(gather(documents, ids, sparse_rows, SPARSE), counts)
     return documents.select("doc_id", "text").mapInArrow(judge(model, threshold, least_words, most_repeated_percent), SCHEMA)
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, threshold: float = 0.5, least_words: int = 10, most_repeated_percent: int = 20) -> DataFrame:
+    """The documents that the rules keep, with all their columns; rows are judged where they are."""
+    ids, counts = labelled_ids(labels, label, F.lit(True), per_class)
+    run = judge(fit_calibrated(gather(documents, ids, sparse_rows, SPARSE), counts), threshold, least_words, most_repeated_percent)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdicts = [part.column("kept") for part in run(iter([batch]))]
+            yield batch.filter(pa.chunked_array(verdicts, pa.bool_()).combine_chunks())
+
+    return documents.mapInArrow(keep, documents.schema)
