@@ -223,8 +223,9 @@ class JaccardJoin:
         save, drop = self.scratch.save, self.scratch.drop
         levels = frequency_levels(self.documents, self.width, self.scratch)
         made = self.documents.mapInArrow(prefixes(self.width, self.percent, levels), NODES)
-        docs = save(made, "prefixes")
-        real = docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        whole = save(made, "prefixes")
+        docs = save(whole.drop("prefix", "g"), "documents")
+        real = whole.where("n_shingles > 0 AND doc_id IS NOT NULL")
         nodes = real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("g").alias("g"))
         nodes = save(nodes, "nodes")
         groups = nodes.groupBy("g", "n_shingles").agg(F.min("node").alias("gid"))
@@ -239,6 +240,7 @@ class JaccardJoin:
         alone = F.when((F.col("block") == 0) & (F.size("ids") < BLOCK), F.xxhash64("ids")).otherwise(F.col("token"))
         lists = lists.withColumn("key", alone).dropDuplicates(["key", "block", "ids"])
         lists = save(lists, "lists")
+        drop("prefixes")
 
         star = lists.select("center", "center_n", F.explode(F.arrays_zip("ids", "sizes")).alias("e"))
         star = star.select(F.col("center").alias("a"), F.col("center_n").alias("na"), F.col("e.ids").alias("b"), F.col("e.sizes").alias("nb"))
@@ -254,6 +256,7 @@ class JaccardJoin:
         found = save(connected_components(links, self.scratch, "components-1"), "first")
         second = save(self._open_pairs(lists, members, found).join(first, ["a", "b"], "left_anti"), "pairs-2")
         more = save(self._verified(second, sets), "links-2")
+        drop("sets")
         if more.isEmpty():
             labels = found
         else:
@@ -261,7 +264,7 @@ class JaccardJoin:
         named = nodes.join(labels, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component"))
         out = docs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
         out = save(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "result")
-        drop("prefixes", "nodes", "members", "lists", "pairs-1", "pairs-2", "sets", "links-1", "links-2", "first", "second")
+        drop("documents", "nodes", "members", "lists", "pairs-1", "pairs-2", "links-1", "links-2", "first", "second")
         return out
 
     def _sizes_fit(self, na: str, nb: str):

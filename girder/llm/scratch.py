@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+SETTLE_S = 0.5
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder: ``spark.checkpoint.dir``, or a temporary one in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -53,8 +58,10 @@ class Scratch:
             self._remove(self.path(name))
 
     def release(self) -> None:
-        """Ask the JVM for a collection: Spark deletes shuffle files once their plans are garbage."""
+        """Ask for collections: Spark deletes shuffle files, in the background, once their plans are garbage."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(SETTLE_S)
 
     def _remove(self, path: str) -> None:
         context = self.spark.sparkContext
