@@ -32,10 +32,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     executors cost no more than one round.
     """
     pairs = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = _saved(pairs, scratch, f"{name}-0")
+    now = scratch.save(pairs, f"{name}-0")
     before = None
     for turn in range(1, MOST_ROUNDS):
-        new = _saved(_star(_star(now, True), False), scratch, f"{name}-{turn}")
+        new = scratch.save(_star(_star(now, True), False), f"{name}-{turn}")
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{turn - 1}")
         now = new
@@ -44,7 +44,3 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         before = mark
     raise RuntimeError("components did not settle")
 
-
-def _saved(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(scratch.path(name))
-    return scratch.load(name, df.schema)

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-SETTLE_S = 0.5
-
-
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder: ``spark.checkpoint.dir``, or a temporary one in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 _local: str | None = None
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a query's shuffle files as soon as the query has ended, not when its plan is garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Named Parquet tables that cut lineage and outlive lost executors.
 
@@ -45,9 +54,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back by its known schema, then let go of finished shuffle files."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        self.release()
+        """Write ``df`` and read it back by its known schema; its shuffle files go with the write."""
+        with short_shuffles(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.load(name, df.schema)
 
     def load(self, name: str, schema) -> DataFrame:
@@ -57,12 +66,6 @@ class Scratch:
         for name in names:
             self._remove(self.path(name))
 
-    def release(self) -> None:
-        """Ask for collections: Spark deletes shuffle files, in the background, once their plans are garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        time.sleep(SETTLE_S)
-
     def _remove(self, path: str) -> None:
         context = self.spark.sparkContext
         if context._jsc is None:
