@@ -8,8 +8,10 @@ reaches ``percent``. Shingles are ordered from rare to frequent; linked sets sha
    hash). Any order is correct; this one keeps common passages out of the prefixes.
 2. Documents with equal sets become one node, and nodes with identical prefixes and size become one group, named
    by its least doc_id. Only groups are indexed: one entry for each prefix shingle.
-3. Entries of a shingle form a list of groups; equal lists count once. Each list is first paired as a star
-   around its least group, filtered by size. The pairs are expanded to members and verified exactly on the full sets.
+3. Entries of a shingle form a list of groups with their sizes and the shingle's places in their orders; equal
+   lists count once. A pair counts only if what follows its places can still make the overlap that its sizes ask for.
+   Each list is first paired as a star around its least group; the pairs are expanded to members and verified
+   exactly on the full sets.
 4. After components are drawn from the verified links, only pairs of a list that lie in different components are
    still open. They are expanded and verified too, so no link between components is lost, and no pairs are listed
    inside a component that is already known.
@@ -29,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.llm.components import connected_components
-from girder.llm.scratch import Scratch
+from girder.llm.scratch import Scratch, short_shuffles
 from girder.llm.textkernel import U64, mix, shingle_sets
 
 SKETCH_BITS = 22
@@ -84,14 +86,15 @@ def add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], names=["slice", "levels"])
 
 
-def frequency_levels(documents: DataFrame, width: int, scratch: Scratch) -> np.ndarray:
+def frequency_levels(documents: DataFrame, width: int) -> np.ndarray:
     """Rounded log count of each sketch bucket, over all documents."""
     counted = documents.select("text").mapInArrow(count_shingles(width), "slice int, counts binary")
     summed = counted.repartition("slice").mapInArrow(add_sketches, "slice int, levels binary")
     out = np.zeros(SKETCH, np.uint8)
-    for number, levels in summed.collect():
+    with short_shuffles(documents.sparkSession):
+        rows = summed.collect()
+    for number, levels in rows:
         out[number * SLICE : (number + 1) * SLICE] = np.frombuffer(levels, np.uint8)
-    scratch.release()
     return out
 
 
@@ -131,30 +134,31 @@ def prefixes(width: int, percent: int, levels: np.ndarray):
 
 
 def token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, gid, n) sorted by token and gid to blocks of the lists that have two groups or more.
+    """(token, gid, n, place) sorted by token and gid to blocks of the lists that have two groups or more.
 
     Only the block at hand is held, however long a list is.
     """
     token, block, center, taken = None, 0, None, 0
     ids: list[int] = []
     sizes: list[int] = []
+    places: list[int] = []
     out: list[tuple] = []
 
     def flush() -> None:
-        nonlocal ids, sizes, block
+        nonlocal ids, sizes, places, block
         if taken > 1 and ids:
-            out.append((token, block, center[0], center[1], ids, sizes))
+            out.append((token, block, *center, ids, sizes, places))
             block += 1
-        ids, sizes = [], []
+        ids, sizes, places = [], [], []
 
     def table() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        types = [_I64, pa.int32(), _I64, _I64, pa.list_(_I64), pa.list_(_I64)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["token", "block", "center", "center_n", "ids", "sizes"])
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        types = [_I64, pa.int32(), _I64, _I64, _I64, *[pa.list_(_I64)] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["token", "block", "center", "center_n", "center_place", "ids", "sizes", "places"])
 
     for batch in batches:
         tokens = batch.column("token").to_numpy()
-        gid, n = batch.column("gid").to_numpy(), batch.column("n").to_numpy()
+        gid, n, place = (batch.column(c).to_numpy() for c in ("gid", "n", "place"))
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(tokens))
         # Runs of one entry inside the batch are alone; the first and last run may go on in other batches.
@@ -162,11 +166,12 @@ def token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True):
             if token is None or tokens[a] != token:
                 flush()
-                token, block, center, taken = int(tokens[a]), 0, (int(gid[a]), int(n[a])), 0
+                token, block, center, taken = int(tokens[a]), 0, (int(gid[a]), int(n[a]), int(place[a])), 0
             while a < b:
                 step = min(b - a, BLOCK - len(ids))
                 ids.extend(gid[a : a + step].tolist())
                 sizes.extend(n[a : a + step].tolist())
+                places.extend(place[a : a + step].tolist())
                 taken += step
                 a += step
                 if len(ids) == BLOCK:
@@ -221,7 +226,7 @@ class JaccardJoin:
 
     def run(self) -> DataFrame:
         save, drop = self.scratch.save, self.scratch.drop
-        levels = frequency_levels(self.documents, self.width, self.scratch)
+        levels = frequency_levels(self.documents, self.width)
         made = self.documents.mapInArrow(prefixes(self.width, self.percent, levels), NODES)
         whole = save(made, "prefixes")
         docs = save(whole.drop("prefix", "g"), "documents")
@@ -232,18 +237,21 @@ class JaccardJoin:
         members = save(nodes.join(groups, ["g", "n_shingles"]).select("gid", "node", F.col("n_shingles").alias("n")), "members")
 
         entries = real.join(groups.select(F.col("gid").alias("doc_id"), "g", "n_shingles"), ["doc_id", "g", "n_shingles"], "left_semi")
-        entries = entries.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"))
+        entries = entries.select(F.posexplode("prefix").alias("place", "token"), F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"))
+        entries = entries.select("token", "gid", "n", F.col("place").cast("long").alias("place"))
         lists = entries.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(
-            token_lists, "token long, block int, center long, center_n long, ids array<bigint>, sizes array<bigint>"
+            token_lists, "token long, block int, center long, center_n long, center_place long, ids array<bigint>, sizes array<bigint>, places array<bigint>"
         )
-        # Equal one-block lists count once; a list of several blocks keeps its token, so that its blocks find each other.
+        # Equal one-block lists count once, with the places of their first shingle: all groups share the order of shingles, so
+        # their arrays of places are ordered alike. A list of several blocks keeps its token, so that its blocks find each other.
         alone = F.when((F.col("block") == 0) & (F.size("ids") < BLOCK), F.xxhash64("ids")).otherwise(F.col("token"))
-        lists = lists.withColumn("key", alone).dropDuplicates(["key", "block", "ids"])
+        lists = lists.withColumn("key", alone).groupBy("key", "block", "center", "center_n", "ids", "sizes").agg(F.min(F.struct("places", "center_place")).alias("p"))
+        lists = lists.select("key", "block", "center", "center_n", "p.center_place", "ids", "sizes", "p.places")
         lists = save(lists, "lists")
         drop("prefixes")
 
-        star = lists.select("center", "center_n", F.explode(F.arrays_zip("ids", "sizes")).alias("e"))
-        star = star.select(F.col("center").alias("a"), F.col("center_n").alias("na"), F.col("e.ids").alias("b"), F.col("e.sizes").alias("nb"))
+        star = lists.select("center", "center_n", "center_place", F.explode(F.arrays_zip("ids", "sizes", "places")).alias("e"))
+        star = star.select(F.col("center").alias("a"), F.col("center_n").alias("na"), F.col("center_place").alias("ia"), F.col("e.ids").alias("b"), F.col("e.sizes").alias("nb"), F.col("e.places").alias("ib"))
         inside = members.where("gid != node").select(F.col("gid").alias("a"), F.col("node").alias("b"))
         first = self._expand(star, members).unionByName(inside).distinct()
         first = save(first, "pairs-1")
@@ -267,12 +275,14 @@ class JaccardJoin:
         drop("documents", "nodes", "members", "lists", "pairs-1", "pairs-2", "links-1", "links-2", "first", "second")
         return out
 
-    def _sizes_fit(self, na: str, nb: str):
-        return 100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)
+    def _can_link(self) -> Column:
+        """Whether sets of sizes na and nb that first meet at places ia and ib can have the overlap to link."""
+        least = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+        return (100 + self.percent) * least >= self.percent * (F.col("na") + F.col("nb"))
 
     def _expand(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
-        """Group pairs (a, na, b, nb) of fitting sizes to pairs of their member nodes."""
-        fit = pairs.where(F.col("a") != F.col("b")).where(self._sizes_fit("na", "nb"))
+        """Group pairs (a, na, ia, b, nb, ib) that can link to pairs of their member nodes."""
+        fit = pairs.where(F.col("a") != F.col("b")).where(self._can_link())
         fit = fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left = members.select(F.col("gid").alias("a"), F.col("node").alias("x"))
         right = members.select(F.col("gid").alias("b"), F.col("node").alias("y"))
@@ -286,16 +296,15 @@ class JaccardJoin:
 
     def _open_pairs(self, lists: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
         """Node pairs of a list, or of a group, that lie in different components."""
-        flat = lists.select("key", F.explode("ids").alias("gid")).distinct()
-        whole = flat.unionByName(members.where("gid != node").select(F.xxhash64(F.lit("group"), "gid").alias("key"), "gid").distinct())
+        flat = lists.select("key", F.explode(F.arrays_zip("ids", "places")).alias("e")).select("key", F.col("e.ids").alias("gid"), F.col("e.places").alias("place"))
+        groups = members.where("gid != node").select(F.xxhash64(F.lit("group"), "gid").alias("key"), "gid", F.lit(0).cast("long").alias("place")).distinct()
         placed = members.join(found, "node", "left").select("gid", "node", "n", F.coalesce("component", "node").alias("component"))
-        placed = whole.join(placed, "gid").select("key", "node", "n", "component").distinct()
+        placed = flat.unionByName(groups).join(placed, "gid").select("key", "place", "node", "n", "component")
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         rest = placed.join(mixed, "key", "left_semi")
-        a = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        b = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        pairs = a.join(b, "key").where("a < b AND ca != cb").where(self._sizes_fit("na", "nb"))
-        return pairs.select("a", "b").distinct()
+        a = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("component").alias("ca"))
+        b = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("component").alias("cb"))
+        return a.join(b, "key").where("a < b AND ca != cb").where(self._can_link()).select("a", "b").distinct()
 
 
 def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
