@@ -29,7 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+SHORT = 64
+NEVER = 1 << 40
 MOST_PAIRS = 4_000_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -56,11 +58,15 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.ids = vocabulary
         self.bytes = {number: token for token, number in vocabulary.items()} | {n: s.encode() for s, n in self.special.items()}
-        self.longest = max(map(len, vocabulary))
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # rank of a pair
+        self.made: list[int] = []  # what the pair of a rank becomes
+        self.reach: dict[bytes, int] = {}  # longest token by its first two bytes
+        for token in vocabulary:
+            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = (bytes(letters[c] for c in part) for part in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merges.setdefault((vocabulary[left], vocabulary[right]), (rank, vocabulary[left + right]))
+            self.merges.setdefault((vocabulary[left], vocabulary[right]), rank)
+            self.made.append(vocabulary[left + right])
         self.text = {number: str(number) for number in self.bytes}
         self.word = regex.compile(WORD)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -73,31 +79,48 @@ class Bpe:
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: always the pair of least rank, the leftmost first."""
         ids = [self.ids[word[k : k + 1]] for k in range(len(word))]
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        rank, made = self.merges.get, self.made
+        ranks = [rank(pair, NEVER) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) != NEVER:
+            k = ranks.index(least)
+            new = made[least]
+            ids[k : k + 2] = [new]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((ids[k - 1], new), NEVER)
+            if k < len(ranks):
+                ranks[k] = rank((new, ids[k + 1]), NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs over a linked list."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*found, k, ids[k], ids[k + 1]) for k in range(n - 1) if (found := self.merges.get((ids[k], ids[k + 1])))]
-        heap = [(rank, k, new, a, b) for rank, new, k, a, b in heap]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := self.merges.get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, k, new, a, b = heapq.heappop(heap)
+            r, k, a, b = heapq.heappop(heap)
             m = after[k]
             if not alive[k] or m >= n or ids[k] != a or ids[m] != b:
                 continue
-            ids[k], alive[m] = new, False
+            ids[k], alive[m] = self.made[r], False
             after[k] = after[m]
             if after[m] < n:
                 before[after[m]] = k
             for left in (before[k], k):
-                if left >= 0 and after[left] < n and (found := self.merges.get((ids[left], ids[after[left]]))):
-                    heapq.heappush(heap, (found[0], left, found[1], ids[left], ids[after[left]]))
+                if left >= 0 and after[left] < n and (r := self.merges.get((ids[left], ids[after[left]]))) is not None:
+                    heapq.heappush(heap, (r, left, ids[left], ids[after[left]]))
         return [ids[k] for k in range(n) if alive[k]]
 
     def guess(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         out, at, n = [], 0, len(word)
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + self.reach.get(word[at : at + 2], 1)), at, -1):
                 if (found := self.ids.get(word[at:end])) is not None:
                     break
             out.append(found)
