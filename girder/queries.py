@@ -278,7 +278,7 @@ def spec_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "report_progress",
-    f"""SELECT count_if(n = 3) AS n_pass, count_if(n IN (1, 2)) AS n_partial, count_if(n = 0) AS n_fail, sum(n)::BIGINT AS checks_passed, 3 * count(*) AS checks_total, floor(100.0 * sum(n) / (3 * count(*)) + 0.5)::INT AS percent
+    f"""SELECT count_if(n = 3)::BIGINT AS n_pass, count_if(n IN (1, 2))::BIGINT AS n_partial, count_if(n = 0)::BIGINT AS n_fail, sum(n)::BIGINT AS checks_passed, 3 * count(*) AS checks_total, floor(100.0 * sum(n) / (3 * count(*)) + 0.5)::INT AS percent
         FROM (SELECT c0::INT + c1::INT + c2::INT AS n FROM ({_MIXED_CHECKS}))""",
     model=True,
 )
