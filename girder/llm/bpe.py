@@ -6,7 +6,8 @@ every adjacent pair of tokens is compatible, that is, if merging the pair's byte
 check runs over all adjacent pairs of a batch's new words at once, against a growing sorted table of judged pairs. Only
 the words that fail are merged exactly, with a heap in O(n log n).
 
-Bounds: a worker keeps at most CACHE_WORDS encoded words and MOST_PAIRS judged pairs, and starts afresh beyond that;
+Bounds: a task keeps about CACHE_WORDS encoded words and MOST_PAIRS judged pairs, and starts afresh beyond that; between tasks a
+worker keeps a cache only up to IDLE_WORDS;
 the vocabulary file is read once per worker from a path that every executor can open.
 
 Defined cases: null text is encoded as empty text (0 tokens); special tokens in a text become their ids, as in
@@ -20,6 +21,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -29,7 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+IDLE_WORDS = 100_000
 SHORT = 64
 NEVER = 1 << 40
 MOST_PAIRS = 4_000_000
@@ -191,6 +194,17 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+@contextmanager
+def task(path: str) -> Iterator[Bpe]:
+    """The worker's encoder, which lets go of a large cache when the task ends: workers outlive tasks and serve other stages."""
+    bpe = load(path)
+    try:
+        yield bpe
+    finally:
+        if len(bpe.cache) > IDLE_WORDS:
+            bpe._forget()
+
+
 def _pieces(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in runs of about ``most`` characters."""
     run: list[str] = []
@@ -211,11 +225,11 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "toke
     kept = [f for f in documents.schema.fields if f.name != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            for first, texts in _pieces(batch.column(text)):
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(bpe.encode(texts), pa.list_(pa.int32()))], names=[*[f.name for f in kept], ids])
+        with task(path) as bpe:
+            for batch in batches:
+                for first, texts in _pieces(batch.column(text)):
+                    part = batch.slice(first, len(texts))
+                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(bpe.encode(texts), pa.list_(pa.int32()))], names=[*[f.name for f in kept], ids])
 
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return documents.select(*[f.name for f in kept]).mapInArrow(run, schema)
@@ -238,19 +252,19 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     """Token count and SHA-256 of the ids and of the text decoded from them, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        spell = bpe.text.__getitem__
-        for batch in batches:
-            for first, texts in _pieces(batch.column("text")):
-                made = bpe.encode(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, len(texts)),
-                        pa.array([len(ids) for ids in made], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(map(spell, ids)).encode()).hexdigest() for ids in made]),
-                        pa.array([hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in made]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        with task(path) as bpe:
+            spell = bpe.text.__getitem__
+            for batch in batches:
+                for first, texts in _pieces(batch.column("text")):
+                    made = bpe.encode(texts)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("doc_id").slice(first, len(texts)),
+                            pa.array([len(ids) for ids in made], pa.int64()),
+                            pa.array([hashlib.sha256(",".join(map(spell, ids)).encode()).hexdigest() for ids in made]),
+                            pa.array([hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in made]),
+                        ],
+                        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
 
     return documents.select("doc_id", "text").mapInArrow(run, DIGESTS)
