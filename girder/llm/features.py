@@ -142,6 +142,7 @@ class Sparse:
         col = np.concatenate(index) if rows else np.zeros(0, np.int32)
         val = np.concatenate(value).astype(np.float64) if rows else np.zeros(0)
         seen = np.bincount(col, minlength=FAMILIES * SIZE)
+        del index, value
         keep = seen[col] >= max(2, least_share * self.n)
         self.row, val = self.row[keep], val[keep]
         self.names, self.col = np.unique(col[keep], return_inverse=True)

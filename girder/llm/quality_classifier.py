@@ -99,7 +99,7 @@ def score_column(model: Linear):
     return score
 
 
-def classify_quality(documents: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", per_class: int = 1500) -> DataFrame:
+def classify_quality(documents: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", per_class: int = 1000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; ``held_out`` is an expression on doc_id."""
     positives, _ = labelled_ids(labels, label, ~held_out, per_class, (1,))
     known = labels.select("doc_id").distinct()

@@ -133,7 +133,7 @@ def judge(model: Linear, threshold: float, least_words: int, most_repeated_perce
 
 
 def apply_quality_rules(
-    documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, threshold: float = 0.5, least_words: int = 10, most_repeated_percent: int = 20
+    documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1000, threshold: float = 0.5, least_words: int = 10, most_repeated_percent: int = 20
 ) -> DataFrame:
     """Statistics, base verdict, calibrated probability and final verdict of every document."""
     ids, counts = labelled_ids(labels, label, F.lit(True), per_class)
@@ -141,7 +141,7 @@ def apply_quality_rules(
     return documents.select("doc_id", "text").mapInArrow(judge(model, threshold, least_words, most_repeated_percent), SCHEMA)
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, threshold: float = 0.5, least_words: int = 10, most_repeated_percent: int = 20) -> DataFrame:
+def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1000, threshold: float = 0.5, least_words: int = 10, most_repeated_percent: int = 20) -> DataFrame:
     """The documents that the rules keep, with all their columns; rows are judged where they are."""
     ids, counts = labelled_ids(labels, label, F.lit(True), per_class)
     run = judge(fit_calibrated(gather(documents, ids, sparse_rows, SPARSE), counts), threshold, least_words, most_repeated_percent)
