@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join by grouped prefixes, reduced to link components.
+"""N-gram Jaccard self-join by grouped prefixes: link components, then every link.
 
 A document is the set of its distinct word shingles. Two documents link if the Jaccard similarity of their sets
 reaches ``percent``. Shingles are ordered from rare to frequent; linked sets share one of the first
@@ -13,8 +13,11 @@ reaches ``percent``. Shingles are ordered from rare to frequent; linked sets sha
    Each list is first paired as a star around its least group; the pairs are expanded to members and verified
    exactly on the full sets.
 4. After components are drawn from the verified links, only pairs of a list that lie in different components are
-   still open. They are expanded and verified too, so no link between components is lost, and no pairs are listed
-   inside a component that is already known.
+   still open. They are expanded and verified too, so no link between components is lost.
+5. Every link lies inside a component. The sets of a component are dealt to parts of about PART nodes, and any two parts
+   meet once: all their pairs are counted exactly, by products of their shingle tables. So every pair of different
+   sets is judged, however many near copies there are, and a set travels once for each part of its component, not
+   once for each pair. Equal sets stay one class; :func:`jaccard_links` expands classes to documents.
 
 Long lists are kept in blocks of BLOCK groups, which meet block by block. The sketch has SKETCH counters whatever
 the input; what the driver holds is one byte for each.
@@ -42,7 +45,12 @@ SKETCH_BITS = 22
 SKETCH = 1 << SKETCH_BITS
 SLICE = 1 << 14
 BLOCK = 2048
+PART = 512
+PART_BYTES = 1 << 24
+COLUMNS = 1 << 12
 NODES = "doc_id long, n_shingles long, h1 long, h2 long, g long, prefix array<bigint>"
+SETS = "doc_id long, h1 long, h2 long, shingles binary"
+LINKS = "a1 long, a2 long, b1 long, b2 long"
 _I64 = pa.int64()
 
 
@@ -106,6 +114,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def set_hashes(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    return int(signed(mix(found).sum(keepdims=True))[0]), int(signed(mix(found ^ U64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0])
+
+
 def prefixes(width: int, percent: int, levels: np.ndarray):
     """A function for mapInArrow: (doc_id, text) to NODES."""
 
@@ -119,8 +132,7 @@ def prefixes(width: int, percent: int, levels: np.ndarray):
                 n = len(found)
                 numbers[0, row] = n
                 if n:
-                    numbers[1, row] = signed(mix(found).sum(keepdims=True))[0]
-                    numbers[2, row] = signed(mix(found ^ U64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0]
+                    numbers[1:3, row] = set_hashes(found)
                     order = np.argsort(levels[_bucket(found)], kind="stable")
                     first = found[order[: prefix_length(n, percent)]]
                     numbers[3, row] = signed(mix(mix(first).sum(keepdims=True) + U64(n)))[0]
@@ -184,12 +196,14 @@ def token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_table(width: int):
-    """A function for mapInArrow: (doc_id, text) to (doc_id, shingles), the sorted hashes as bytes."""
+    """A function for mapInArrow: (doc_id, text) to SETS; shingles are the sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.tobytes() for _, x in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+            found = [(*set_hashes(x), x.tobytes()) for _, x in shingle_sets(batch.column("text"), width)]
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            made = [pa.array(c, t) for c, t in zip(columns, (_I64, _I64, pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "h1", "h2", "shingles"])
 
     return run
 
@@ -216,15 +230,84 @@ def verify(percent: int):
     return run
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y."""
+    if len(x) == len(y) == 1:
+        return np.array([[shared(x[0], y[0])]])
+    same = x is y
+    values = np.concatenate(x if same else [*x, *y])
+    rows = np.repeat(np.arange(len(x) + (0 if same else len(y))), [len(s) for s in (x if same else [*x, *y])])
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1  # a shingle of one set is in no intersection but that of the set with itself
+    rows = rows[often]
+    column = np.cumsum(new[often]) - 1
+    out = np.zeros((len(x), len(y)), np.int64)
+    ends = np.searchsorted(column, np.arange(0, column[-1] + 1 + COLUMNS, COLUMNS)) if len(column) else [0]
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        table = np.zeros((len(x) + (0 if same else len(y)), min(COLUMNS, int(column[b - 1]) + 1 - k * COLUMNS)), np.float32)
+        table[rows[a:b], column[a:b] - k * COLUMNS] = 1
+        out += (table[: len(x)] @ (table if same else table[len(x) :]).T).astype(np.int64)
+    return out
+
+
+def part_links(percent: int):
+    """A function for mapInArrow: (component, p, q, part, h1, h2, shingles) sorted by component, p and q to LINKS.
+
+    One meeting of two parts is held at a time.
+    """
+
+    def meet(p: int, q: int, found: dict[tuple[int, int], tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        sides = [[(h, s) for h, (part, s) in found.items() if part == side] for side in (p, q)]
+        x, y = [s for _, s in sides[0]], [s for _, s in sides[1]]
+        if p == q:
+            y = x
+        if p == q and len(x) == 2:
+            both = np.zeros((2, 2), np.int64)
+            both[0, 1] = shared(*x)
+        else:
+            both = overlaps(x, y) if x and y else np.zeros((len(x), len(y)), np.int64)
+        sizes = np.array([len(s) for s in x], np.int64)[:, None] + np.array([len(s) for s in y], np.int64)[None, :]
+        fits = (100 + percent) * both >= percent * sizes
+        a, b = np.nonzero(np.triu(fits, 1) if p == q else fits)
+        left, right = (np.array([h for h, _ in side], np.int64).reshape(-1, 2) for side in sides)
+        turn = (left[a, 0] > right[b, 0])[:, None]
+        low, high = np.where(turn, right[b], left[a]), np.where(turn, left[a], right[b])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (low[:, 0], low[:, 1], high[:, 0], high[:, 1])], names=["a1", "a2", "b1", "b2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[int, int, int] | None = None
+        found: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            names = ("component", "p", "q", "part", "h1", "h2")
+            for component, p, q, part, h1, h2, shingles in zip(*(batch.column(c).to_pylist() for c in names), batch.column("shingles"), strict=True):
+                if (component, p, q) != now:
+                    if now and len(found) > 1:
+                        yield meet(now[1], now[2], found)
+                    now, found = (component, p, q), {}
+                if (h1, h2) not in found:  # rows with equal sets are one class
+                    found[h1, h2] = part, np.frombuffer(shingles.as_buffer(), U64)
+        if now and len(found) > 1:
+            yield meet(now[1], now[2], found)
+
+    return run
+
+
 class JaccardJoin:
-    """The steps of one self-join; :func:`jaccard_components` runs them."""
+    """The steps of one self-join; :func:`jaccard_components` and :func:`jaccard_links` run them.
+
+    After :meth:`run`, ``links`` holds the hashes of every two different sets that link.
+    """
 
     def __init__(self, documents: DataFrame, width: int, percent: int):
         self.documents = documents.select("doc_id", "text")
         self.width, self.percent = width, percent
         self.scratch = Scratch(documents.sparkSession, "jaccard")
 
-    def run(self) -> DataFrame:
+    def run(self, with_links: bool = True) -> DataFrame:
         save, drop = self.scratch.save, self.scratch.drop
         levels = frequency_levels(self.documents, self.width)
         made = self.documents.mapInArrow(prefixes(self.width, self.percent, levels), NODES)
@@ -258,21 +341,24 @@ class JaccardJoin:
 
         wanted = lists.select(F.explode("ids").alias("gid")).distinct().join(members, "gid").select("node").unionByName(first.select(F.col("b").alias("node"))).distinct()
         sets = self.documents.join(wanted.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-        sets = save(sets.mapInArrow(shingle_table(self.width), "doc_id long, shingles binary"), "sets")
+        sets = save(sets.mapInArrow(shingle_table(self.width), SETS), "sets")
 
         links = save(self._verified(first, sets), "links-1")
         found = save(connected_components(links, self.scratch, "components-1"), "first")
         second = save(self._open_pairs(lists, members, found).join(first, ["a", "b"], "left_anti"), "pairs-2")
         more = save(self._verified(second, sets), "links-2")
-        drop("sets")
         if more.isEmpty():
             labels = found
         else:
             labels = save(connected_components(links.unionByName(more), self.scratch, "components-2"), "second")
+        drop("members", "lists", "pairs-1", "pairs-2", "links-1", "links-2")
+        if with_links:
+            self.links = save(self._all_links(labels, sets), "links")
+        drop("sets")
         named = nodes.join(labels, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component"))
         out = docs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
-        out = save(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "result")
-        drop("documents", "nodes", "members", "lists", "pairs-1", "pairs-2", "links-1", "links-2", "first", "second")
+        out = save(out.select("doc_id", "n_shingles", "h1", "h2", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "result")
+        drop("documents", "nodes", "first", "second")
         return out
 
     def _can_link(self) -> Column:
@@ -294,6 +380,20 @@ class JaccardJoin:
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify(self.percent), "a long, b long")
 
+    def _all_links(self, labels: DataFrame, sets: DataFrame) -> DataFrame:
+        """LINKS of every two different sets of a component that link."""
+        # The labels leave out the least node of each component.
+        labels = labels.select(F.col("node").alias("doc_id"), "component").unionByName(labels.select(F.col("component").alias("doc_id"), "component").distinct())
+        placed = sets.join(labels, "doc_id").drop("doc_id")
+        sizes = sets.select("doc_id", F.length("shingles").alias("bytes")).join(labels, "doc_id")
+        parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("bytes") / PART_BYTES))
+        placed = placed.join(sizes.groupBy("component").agg(parts.alias("parts")), "component").withColumn("part", F.pmod("h1", "parts"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+        met = placed.select("component", other, "part", "h1", "h2", "shingles")
+        met = met.select("component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "h1", "h2", "shingles")
+        met = met.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+        return met.mapInArrow(part_links(self.percent), LINKS).distinct()
+
     def _open_pairs(self, lists: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
         """Node pairs of a list, or of a group, that lie in different components."""
         flat = lists.select("key", F.explode(F.arrays_zip("ids", "places")).alias("e")).select("key", F.col("e.ids").alias("gid"), F.col("e.places").alias("place"))
@@ -309,7 +409,19 @@ class JaccardJoin:
 
 def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    return JaccardJoin(documents, width, percent).run()
+    return JaccardJoin(documents, width, percent).run().select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_links(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """(a, b) with a < b, once for every two documents that link; documents with equal sets do."""
+    join = JaccardJoin(documents, width, percent)
+    docs = join.run().where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "h1", "h2").distinct()
+    x = docs.select(F.col("doc_id").alias("x"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    y = docs.select(F.col("doc_id").alias("y"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    equal = x.join(y.withColumnsRenamed({"b1": "a1", "b2": "a2"}), ["a1", "a2"]).select("x", "y")
+    other = join.links.join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).select("x", "y")
+    pairs = equal.unionByName(other).where("x != y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def keep_representatives(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -317,5 +429,6 @@ def keep_representatives(documents: DataFrame, width: int = 5, percent: int = 75
 
     Rows with a null doc_id and documents without words stay.
     """
-    gone = jaccard_components(documents, width, percent).where("doc_id != component_id").select("doc_id").distinct()
+    # Components follow from the links that join them; the links inside one name no other representative.
+    gone = JaccardJoin(documents, width, percent).run(with_links=False).where("doc_id != component_id").select("doc_id").distinct()
     return documents.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)

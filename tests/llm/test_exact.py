@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,41 @@ def test_jaccard_random(spark, monkeypatch):
     assert found == components(keyed(rows))
 
 
+def linked(docs, percent=75):
+    """Every two documents that link, by comparing all with all."""
+    sets = [(d, s) for d, t in docs if (s := shingles(t))]
+    return {(min(a, b), max(a, b)) for a, x in sets for b, y in sets if a != b and 100 * len(x & y) >= percent * len(x | y)}
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 16)
+    rng = np.random.default_rng(3)
+    x, y = ([np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in (1, 40, 200, 7, k)] for k in (3, 60))
+    for a, b in ((x, y), (x, x), (x[:1], y[:1]), (x, y[:2])):
+        assert jaccard_join.overlaps(a, b).tolist() == [[len(set(s.tolist()) & set(t.tolist())) for t in b] for s in a] or a is b
+    both = jaccard_join.overlaps(x, x)
+    assert all(both[i, j] == len(set(x[i].tolist()) & set(x[j].tolist())) for i in range(5) for j in range(5) if i != j)
+
+
+def test_jaccard_links(spark, odd, none, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for k in range(90):  # one large cluster of near and exact copies, small ones, and texts of their own
+        words = prose(0 if k < 40 else k % 12, 60).split()
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = rng.choice(["x", "y", "z", "w"])
+        rows.append((k, " ".join(words), None))
+    rows += [(100, rows[0][1], None), (0, rows[50][1], None), (None, rows[0][1], None), (101, rows[3][1] + " x", None)]
+    wanted = linked(keyed(rows))
+    assert len(wanted) > 400
+    for part in (512, 7):
+        monkeypatch.setattr(jaccard_join, "PART", part)
+        found = [(r.a, r.b) for r in jaccard_join.jaccard_links(make_docs(spark, rows)).collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted
+    assert {(r.a, r.b) for r in jaccard_join.jaccard_links(odd).collect()} == linked(keyed(odd_rows()))
+    assert jaccard_join.jaccard_links(none).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
