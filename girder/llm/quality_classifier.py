@@ -1,13 +1,14 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are the allowed rows labelled 1; the unlabelled sample is web text without labels. The
+Trusted positives are the allowed rows labelled 1; unlabelled text is web text without labels. The
 class prior is estimated by best-bin estimation: a first model separates positives from unlabelled text,
 and the prior is the least ratio of unlabelled to positive mass above a threshold, with a margin for
-sampling error. The final linear model over hashed n-grams minimises the non-negative unbiased risk
+sampling error. The unlabelled mass is that of all documents without labels but the few that the first model was
+fitted on: they are scored where they are and counted in BINS bins of the score. The final linear model over hashed n-grams minimises the non-negative unbiased risk
 ``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` of the logistic loss.
 
-Bounds: at most ``per_class`` positives and as many unlabelled rows are fitted, chosen by a hash of the id;
-every document is scored, whole.
+Bounds: at most ``per_class`` positives and as many unlabelled rows are fitted, chosen by a hash of the id, so
+the risk of the final model still takes R_U from a sample; the prior does not. Every document is scored, whole.
 
 Defined cases: null text scores as empty text; without positives or unlabelled text every score is 0.5;
 repeated rows score alike; a null doc_id is never learned from and is not held out; an empty table gives an
@@ -16,7 +17,7 @@ empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from girder.llm.features import FAMILIES, SIZE, Sparse, descend, gather, labelled_ids, linear_scores, sigmoid, sparse_rows
 from girder.llm.textkernel import chunks
 
+BINS = 1 << 13
+HIGHEST = 30.0  # of a score, before the sigmoid
 SPARSE = "doc_id long, label int, index binary, value binary"
 
 
@@ -41,18 +44,29 @@ class Linear:
         return sigmoid(self.slope * linear_scores(data, offsets, self.weights, self.bias) + self.shift)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """Best-bin estimate of the share of positives in the unlabelled scores."""
+def score_bins(z: np.ndarray) -> np.ndarray:
+    return np.clip((z + HIGHEST) * (BINS / (2 * HIGHEST)), 0, BINS - 1).astype(np.int32)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, counts: np.ndarray | None = None) -> float:
+    """Best-bin estimate of the share of positives in the unlabelled scores, which ``counts`` may give the numbers of."""
+    counts = np.ones(len(unlabelled), np.int64) if counts is None else counts
+    order = np.argsort(unlabelled)
+    below = np.concatenate([[0], np.cumsum(counts[order])])
     cuts = np.unique(positive)
     p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
-    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    u = 1 - below[np.searchsorted(unlabelled[order], cuts)] / below[-1]
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(below[-1]))
     at = np.argmin((u + slack) / np.maximum(p, 1e-9))
     return float(np.clip(u[at] / max(p[at], 1e-9), 0.01, 0.99))
 
 
-def fit_pu(rows: list, decay: float = 1e-4) -> tuple[Linear, float]:
-    """Model and prior from rows labelled 1 (trusted positive) and 0 (unlabelled)."""
+def fit_pu(rows: list, count_unlabelled: Callable[[Linear, list], list], decay: float = 1e-4) -> tuple[Linear, float]:
+    """Model and prior from rows labelled 1 (trusted positive) and 0 (unlabelled).
+
+    ``count_unlabelled`` takes the first model and the ids of the unlabelled rows that it has seen, and returns (bin, count)
+    of the scores of all others.
+    """
     label = np.array([r["label"] for r in rows])
     size = FAMILIES * SIZE
     if not (label == 1).any() or not (label == 0).any():
@@ -68,8 +82,14 @@ def fit_pu(rows: list, decay: float = 1e-4) -> tuple[Linear, float]:
 
     w, b = descend(logistic, x.size, 0.25 * x.curvature(weight) + decay, 60)
     z = x.dot(w) + b
-    held = ~half if (~half & (label == 1)).any() and (~half & (label == 0)).any() else half
-    prior = estimate_prior(z[held & (label == 1)], z[held & (label == 0)])
+    held = ~half if (~half & (label == 1)).any() else half
+    found = count_unlabelled(Linear(x.unscaled(w), b), [r["doc_id"] for r, seen in zip(rows, half & (label == 0), strict=True) if seen])
+    if found:
+        bins, counts = (np.array(c, np.int64) for c in zip(*found, strict=True))
+    else:  # the model has seen all there is
+        bins = score_bins(z[label == 0])
+        counts = np.ones(len(bins), np.int64)
+    prior = estimate_prior(score_bins(z[held & (label == 1)]), bins, counts=counts)
     pos, unl = (label == 1) / max(1, (label == 1).sum()), (label == 0) / max(1, (label == 0).sum())
 
     def non_negative(w, b):
@@ -99,6 +119,19 @@ def score_column(model: Linear):
     return score
 
 
+def bin_column(model: Linear):
+    """A function for mapInArrow: (doc_id, text) to (doc_id, bin) of the scores before the sigmoid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.zeros(batch.num_rows, np.int32)
+            for row, end, data, offsets in chunks(batch.column("text")):
+                bins[row:end] = score_bins(linear_scores(data, offsets, model.weights, model.bias))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bins)], names=["doc_id", "bin"])
+
+    return run
+
+
 def classify_quality(documents: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", per_class: int = 1500) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; ``held_out`` is an expression on doc_id."""
     positives, _ = labelled_ids(labels, label, ~held_out, per_class, (1,))
@@ -106,6 +139,14 @@ def classify_quality(documents: DataFrame, labels: DataFrame, held_out: Column,
     ids = documents.select("doc_id").where(F.col("doc_id").isNotNull())
     free = ids.join(known, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = positives.unionByName(free.withColumn("label", F.lit(0)))
-    model, _ = fit_pu(gather(documents, chosen, sparse_rows, SPARSE))
+
+    def count_unlabelled(first: Linear, seen: list) -> list:
+        """(bin, count) of all documents without labels; of repeated documents the least bin counts."""
+        met = documents.sparkSession.createDataFrame([(d,) for d in seen], "doc_id long")
+        rest = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(met), "doc_id", "left_anti")
+        bins = rest.mapInArrow(bin_column(first), "doc_id long, bin int").join(known, "doc_id", "left_anti")
+        return [(r["bin"], r["n"]) for r in bins.groupBy("doc_id").agg(F.min("bin").alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).collect()]
+
+    model, _ = fit_pu(gather(documents, chosen, sparse_rows, SPARSE), count_unlabelled)
     scored = documents.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(score_column(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -12,7 +12,7 @@ from girder.llm import language_id, quality_classifier, quality_rules, queries,
 from girder.llm.features import remainder
 from girder.llm.quality_classifier import estimate_prior
 from tests.llm.brute import WORD
-from tests.llm.conftest import odd_rows
+from tests.llm.conftest import odd_rows, prose
 
 SF = "/root/testdata/sf0.01"
 
@@ -82,6 +82,25 @@ def test_prior_estimate():
     assert abs(estimate_prior(positive[:1000], np.concatenate([positive[1000:], negative])) - 1000 / 1600) < 0.05
 
 
+def test_prior_counts_all_unlabelled(spark, monkeypatch):
+    import numpy as np
+
+    docs = [(k, prose(k, 30) + ("" if k % 3 else " $$$ BUY ### NOW" * 5)) for k in range(900)]
+    docs = spark.createDataFrame([*docs, docs[-1]], "doc_id long, text string")
+    given = spark.createDataFrame([(k, 1) for k in range(900) if k % 3 and k % 2], "doc_id long, quality int")
+    met = []
+
+    def spy(positive, unlabelled, *rest, counts=None, **more):
+        met.append(len(unlabelled) if counts is None else int(np.sum(counts)))
+        met.append(estimate_prior(positive, unlabelled, *rest, counts=counts, **more))
+        return met[-1]
+
+    monkeypatch.setattr(quality_classifier, "estimate_prior", spy)
+    quality_classifier.classify_quality(docs, given, F.lit(False), per_class=40)
+    assert 600 - 40 <= met[0] <= 600  # all without labels but those that the first model was fitted on
+    assert 0.3 < met[1] < 0.6  # half are like the positives
+
+
 def test_toxicity(spark, odd, none, no_labels):
     known = labels(spark)
     rows = queries.op9_toxicity(spark, SF).collect()
