@@ -135,17 +135,22 @@ class Sparse:
     """Rows of a training sample, with the features that ``least_share`` of them have, scaled to unit root mean square."""
 
     def __init__(self, rows: list, least_share: float = 0.01):
-        index = [np.frombuffer(r["index"], np.int32) for r in rows]
-        value = [np.frombuffer(r["value"], np.float32) for r in rows]
         self.n = len(rows)
+        seen = np.zeros(FAMILIES * SIZE, np.int64)
+        for r in rows:
+            seen[np.frombuffer(r["index"], np.int32)] += 1  # a row names a feature once
+        often = seen >= max(2, least_share * self.n)
+        index, value = [], []
+        for r in rows:  # rare features go before the rows are put together, which bounds the memory of the driver
+            col = np.frombuffer(r["index"], np.int32)
+            keep = often[col]
+            index.append(col[keep])
+            value.append(np.frombuffer(r["value"], np.float32)[keep])
         self.row = np.repeat(np.arange(self.n), [len(x) for x in index])
         col = np.concatenate(index) if rows else np.zeros(0, np.int32)
         val = np.concatenate(value).astype(np.float64) if rows else np.zeros(0)
-        seen = np.bincount(col, minlength=FAMILIES * SIZE)
         del index, value
-        keep = seen[col] >= max(2, least_share * self.n)
-        self.row, val = self.row[keep], val[keep]
-        self.names, self.col = np.unique(col[keep], return_inverse=True)
+        self.names, self.col = np.unique(col, return_inverse=True)
         self.size = len(self.names)
         power = np.bincount(self.col, val * val, self.size) / max(1, self.n)
         self.scale = 1 / np.sqrt(power + 1e-5)

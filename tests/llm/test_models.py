@@ -59,6 +59,16 @@ def test_quality_rules(spark, odd, none, no_labels):
     assert quality_rules.apply_quality_rules(none, no_labels).count() == 0
 
 
+def test_quality_rules_fit_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(3200)], "doc_id long, text string")
+    given = spark.createDataFrame([(k, k % 2) for k in range(3200)], "doc_id long, quality int")
+    fit, met = quality_rules.fit_calibrated, []
+    monkeypatch.setattr(quality_rules, "fit_calibrated", lambda rows, counts: met.append(len(rows)) or fit(rows, counts))
+    quality_rules.apply_quality_rules(docs, given)
+    quality_rules.keep_good(docs, given)
+    assert met == [3000, 3000]
+
+
 def accuracy(rows, known, label):
     return sum(r.predicted == known[r.doc_id][label] for r in rows) / len(rows)
 
