@@ -1,7 +1,7 @@
 """Compressed and expanded global ids, in built-in functions.
 
-A compressed id has 22 digits of base 64: the first holds 2 bits, each other one 6. So the first two digits are
-one byte, and every further pair of digits is three hex digits.
+A compressed id has 22 digits of base 64, 132 bits, of which the last 128 are the id. So with one hex digit of zeros before it and
+one behind it an id is 17 bytes whose plain base-64 text starts with the compressed form, but for the digits in use.
 """
 
 from __future__ import annotations
@@ -11,46 +11,38 @@ from pyspark.sql import functions as F
 
 # Fixed value: the digits of the compressed form.
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$"
+# Fixed value: the digits of base-64 text.
+_PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _COMPRESSED = r"\A[0-9A-Za-z_$]{22}\z"
 _EXPANDED = r"\A\{?([0-9a-fA-F]{8})-?([0-9a-fA-F]{4})-?([0-9a-fA-F]{4})-?([0-9a-fA-F]{4})-?([0-9a-fA-F]{12})\}?\z"
 
 
-def _digit(text: Column, at: Column | int) -> Column:
-    return F.instr(F.lit(DIGITS), F.substring(text, at, 1)) - 1
-
-
-def _sign(value: Column) -> Column:
-    return F.substring(F.lit(DIGITS), (value + 1).cast("int"), 1)
+def _hyphened(digits: Column) -> Column:
+    return F.concat_ws("-", *[F.substring(digits, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
 def decode(compressed: Column) -> Column:
     """The lower-case hyphenated id, null for anything but 22 digits; of the first digit two bits count."""
-    head = F.lpad(F.lower(F.hex((_digit(compressed, 1) % 4) * 64 + _digit(compressed, 2))), 2, "0")
-    pairs = F.transform(F.sequence(F.lit(3), F.lit(21), F.lit(2)), lambda k: F.lpad(F.lower(F.hex(_digit(compressed, k) * 64 + _digit(compressed, k + 1))), 3, "0"))
-    digits = F.concat(head, F.array_join(pairs, ""))
-    hyphened = F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    return F.when(compressed.rlike(_COMPRESSED), hyphened)
+    whole = F.hex(F.unbase64(F.concat(F.translate(compressed, DIGITS, _PLAIN), F.lit("AA"))))
+    return F.when(compressed.rlike(_COMPRESSED), _hyphened(F.lower(F.substring(whole, 2, 32))))
 
 
 def _hex_digits(guid: Column) -> Column:
     t = F.trim(guid)
-    return F.when(t.rlike(_EXPANDED), F.lower(F.regexp_replace(t, r"[{}-]", "")))
+    return F.when(t.rlike(_EXPANDED), F.lower(F.translate(t, "{}-", "")))
 
 
 def encode(guid: Column) -> Column:
     """The 22 digits of an expanded id (braces and hyphens optional, any case), null for anything else."""
-    digits = _hex_digits(guid)
-    number = lambda at, size: F.conv(F.substring(digits, at, size), 16, 10).cast("int")
-    byte = number(1, 2)
-    pairs = F.transform(F.sequence(F.lit(3), F.lit(30), F.lit(3)), lambda k: F.concat(_sign(F.floor(number(k, 3) / 64)), _sign(number(k, 3) % 64)))
-    return F.when(digits.isNotNull(), F.concat(_sign(F.floor(byte / 64)), _sign(byte % 64), F.array_join(pairs, "")))
+    whole = F.base64(F.unhex(F.concat(F.lit("0"), _hex_digits(guid), F.lit("0"))))
+    return F.translate(F.substring(whole, 1, 22), _PLAIN, DIGITS)
 
 
 def canonical(raw: Column) -> Column:
     """The lower-case hyphenated id of either spelling, null for anything else."""
     t = F.trim(raw)
-    hyphened = F.regexp_replace(_hex_digits(t), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    return F.coalesce(hyphened, decode(t))
+    digits = _hex_digits(t)
+    return F.coalesce(F.when(digits.isNotNull(), _hyphened(digits)), decode(t))
 
 
 def to_compressed(raw: Column) -> Column:
