@@ -1,16 +1,15 @@
 """Edges of the model graph, from tables of rules that are joined with the records.
 
-A rule says which arguments of a class hold the subject and the object of an edge. One broadcast join, one explode per
-side and two semi joins replace a handler per class.
+A rule says which arguments of a class hold the subject and the object of an edge. One table holds the rules of all kinds, so one
+pass over the records, one broadcast join, one explode per side and two semi joins replace a handler per class.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from girder.scratch import Scratch
 from girder.sources.geometry_classes import GEOMETRY_CLASSES, PLACEMENT_CLASSES
 from girder.sources.step import list_refs, ref_id
 
@@ -129,39 +128,52 @@ def kept_records(records: DataFrame) -> DataFrame:
     return records.where(~is_geometry() & ~is_relationship())
 
 
-def _side(argument: Column, many: Column) -> Column:
-    """Ids of one side of a rule: the list's references, or the single one."""
-    text = F.get(F.col("arg_list"), argument)
+#: Argument that stands for the record itself, and the class that stands for all type classes.
+SELF, ANY_TYPE = -1, "*"
+_RULE = "rule_type string, predicate string, from_arg int, from_many boolean, to_arg int, to_many boolean, origin string"
+CLASSIFICATION = (("IFCCLASSIFICATIONREFERENCE", "hasClassificationReference", 3, False, SELF, False, "classification"),)
+TYPE_SETS = ((ANY_TYPE, "hasPropertySet", SELF, False, 5, True, "type"),)
+RULES = (
+    *((*rule, "relationship") for rule in RELATIONSHIPS),
+    *((kind, predicate, SELF, False, argument, many, "synthetic") for kind, argument, many, predicate in SYNTHETIC),
+    *CLASSIFICATION,
+    *TYPE_SETS,
+)
+
+
+def _side(argument: str, many: str) -> Column:
+    """Ids of one side of a rule: the record itself, the list's references, or the single one."""
+    text = F.get(F.col("arg_list"), F.col(argument))
     single = ref_id(text)
-    return F.when(many, list_refs(text)).when(single.isNotNull(), F.array(single))
+    return F.when(F.col(argument) == SELF, F.array("entity_id")).when(F.col(many), list_refs(text)).when(single.isNotNull(), F.array(single))
 
 
-def _ruled(records: DataFrame, rules, columns: str) -> DataFrame:
-    table = records.sparkSession.createDataFrame(list(rules), columns)
-    return records.join(F.broadcast(table), "ifc_type")  # a table of constants
+def ruled_edges(records: DataFrame, *origins: str) -> DataFrame:
+    """Edges by the rules of the given origins (all by default), before their ends are checked."""
+    rules = [rule for rule in RULES if not origins or rule[-1] in origins]
+    table = records.sparkSession.createDataFrame(rules, _RULE)  # a table of constants
+    classes = sorted({rule[0] for rule in rules})
+    rows = records.withColumn("rule_type", F.when(is_type(), ANY_TYPE).otherwise(F.col("ifc_type"))).where(F.col("rule_type").isin(classes))
+    rows = rows.select("model_id", "entity_id", "rule_type", "arg_list").join(F.broadcast(table), "rule_type")
+    rows = rows.withColumn("subject", F.explode(_side("from_arg", "from_many")))
+    return rows.withColumn("object", F.explode(_side("to_arg", "to_many"))).select(*EDGE)
 
 
 def relationship_edges(records: DataFrame) -> DataFrame:
-    columns = "ifc_type string, predicate string, from_arg int, from_many boolean, to_arg int, to_many boolean"
-    rows = _ruled(records.where(is_relationship() | (F.col("ifc_type") == "IFCEXTERNALREFERENCERELATIONSHIP")), RELATIONSHIPS, columns)
-    rows = rows.withColumn("subject", F.explode(_side(F.col("from_arg"), F.col("from_many"))))
-    return rows.withColumn("object", F.explode(_side(F.col("to_arg"), F.col("to_many")))).select(*EDGE)
+    return ruled_edges(records, "relationship")
 
 
 def synthetic_edges(records: DataFrame) -> DataFrame:
-    rows = _ruled(records, [(c, a, m, p) for c, a, m, p in SYNTHETIC], "ifc_type string, arg int, many boolean, predicate string")
-    return rows.select("model_id", F.col("entity_id").alias("subject"), "predicate", F.explode(_side(F.col("arg"), F.col("many"))).alias("object"))
+    return ruled_edges(records, "synthetic")
 
 
 def classification_edges(records: DataFrame) -> DataFrame:
     """From what a reference refers to, to the reference."""
-    rows = records.where("ifc_type = 'IFCCLASSIFICATIONREFERENCE'").withColumn("subject", ref_id(F.get("arg_list", F.lit(3))))
-    return rows.where("subject IS NOT NULL").select("model_id", "subject", F.lit("hasClassificationReference").alias("predicate"), F.col("entity_id").alias("object"))
+    return ruled_edges(records, "classification")
 
 
 def type_property_edges(records: DataFrame) -> DataFrame:
-    rows = records.where(is_type()).withColumn("object", F.explode(list_refs(F.get("arg_list", F.lit(5)))))
-    return rows.select("model_id", F.col("entity_id").alias("subject"), F.lit("hasPropertySet").alias("predicate"), "object")
+    return ruled_edges(records, "type")
 
 
 def between_kept(edges: DataFrame, kept: DataFrame) -> DataFrame:
@@ -178,7 +190,7 @@ def _pair(a: str, b: str) -> list[Column]:
 def generic_edges(records: DataFrame, named: DataFrame) -> DataFrame:
     """``references`` edges for pairs that no named edge joins, in either direction; the first mention in file order counts."""
     kept = kept_records(records)
-    args = kept.select("model_id", F.col("entity_id").alias("subject"), "ord", F.posexplode("arg_list").alias("arg", "text"))
+    args = kept.select("model_id", F.col("entity_id").alias("subject"), "ord", F.posexplode(F.filter("arg_list", lambda x: F.contains(x, F.lit("#")))).alias("arg", "text"))
     refs = args.select("model_id", "subject", "ord", "arg", F.posexplode(list_refs(F.col("text"))).alias("at", "object")).where("subject != object")
     refs = between_kept(refs, kept).select("*", *_pair("subject", "object"))
     linked = named.select("model_id", *_pair("subject", "object")).distinct()
@@ -188,13 +200,18 @@ def generic_edges(records: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def named_edges(records: DataFrame) -> DataFrame:
-    made = [synthetic_edges(records), classification_edges(records), type_property_edges(records), relationship_edges(records)]
-    return between_kept(reduce(DataFrame.unionByName, made), kept_records(records))
+    return between_kept(ruled_edges(records), kept_records(records))
 
 
 def extract_edges(records: DataFrame, profile: str = "learning") -> DataFrame:
-    """All edges of the models, cut to a profile's predicates."""
-    named = named_edges(records)
+    """All edges of the models, cut to a profile's predicates. Records are parsed once: they are written first."""
+    scratch = Scratch(records.sparkSession, "edges")
+    return edges_of_written(scratch.save(records, "records"), scratch, profile)
+
+
+def edges_of_written(records: DataFrame, scratch: Scratch, profile: str = "learning") -> DataFrame:
+    """The same for records that are read from files."""
+    named = scratch.save(named_edges(records), "named")
     return filter_profile(named.unionByName(generic_edges(records, named)), profile)
 
 

@@ -1,4 +1,7 @@
-"""Records to base tables: named attributes, units, property rows."""
+"""Records to base tables: named attributes, units, property rows.
+
+Records, named arguments and edges are written once; the tables are plans over these files.
+"""
 
 from __future__ import annotations
 
@@ -10,20 +13,21 @@ from pyspark.sql import functions as F
 from girder.functions.guid import canonical
 from girder.functions.numbers import script_number
 from girder.functions.units import MEASURE_UNIT_TYPE, QUANTITY_UNIT_TYPE, lookup, measure_unit_type, si_factor, unit_label
-from girder.operators.edges import edges_of, extract_edges, kept_records
+from girder.operators.edges import edges_of, edges_of_written, kept_records
 from girder.schema import ATTRIBUTES, BOX, ENTITIES, MESH, PROPERTIES, TIER1, TRIPLES, ModelTables
-from girder.sources.ifc_schema import KNOWN, attribute_names
+from girder.scratch import Scratch
+from girder.sources.ifc_schema import LATEST, Table, tables
 from girder.sources.step import cast_name, decode_arg, is_empty_text, list_refs, ref_id
 
 _NAMES = ["Name", "GlobalId", "Description", "ObjectType", "Tag", "PredefinedType", "LongName", "Identification"]
-# What cannot be a property, property sets without property records, and attributes of those that are no property.
-UNSUPPORTED = ("IFCCOMPLEXPROPERTY", "IFCPHYSICALCOMPLEXQUANTITY", "IFCPROPERTYREFERENCEVALUE")
+# Property sets without property records, and attributes of those that are no property.
 PREDEFINED_SETS = (
     "IFCDOORLININGPROPERTIES", "IFCDOORPANELPROPERTIES", "IFCPERMEABLECOVERINGPROPERTIES",
     "IFCREINFORCEMENTDEFINITIONPROPERTIES", "IFCWINDOWLININGPROPERTIES", "IFCWINDOWPANELPROPERTIES",
 )
 BOOKKEEPING = ("globalid", "ownerhistory", "name", "description")
-#: Multi-valued properties: class, argument of the values, argument of their unit.
+#: Multi-valued properties: class, argument of the values, argument of their unit. Complex properties, complex quantities and reference
+#: values have no row of their own.
 MULTI = (
     ("IFCPROPERTYENUMERATEDVALUE", 2, None), ("IFCPROPERTYLISTVALUE", 2, 3),
     ("IFCPROPERTYBOUNDEDVALUE", 2, 4), ("IFCPROPERTYBOUNDEDVALUE", 3, 4), ("IFCPROPERTYBOUNDEDVALUE", 5, 4),
@@ -31,27 +35,21 @@ MULTI = (
 )
 
 
-def named_arguments(records: DataFrame, table: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
-    """(model_id, entity_id, ifc_type, ord, pos, attr_name, raw): one row per argument of every kept record.
+def named_arguments(records: DataFrame, given: Mapping[str, Table] | None = None) -> DataFrame:
+    """(model_id, entity_id, ifc_type, ord, pos, attr_name, raw, members): one row per argument of every kept record.
 
-    A class's names come from ``table``, else from the rule of its kind; arguments beyond them are ``[n]``.
+    A class's names come from the table of its file's schema (of those in ``given`` first, else the built-in one, else the latest);
+    a class that the table lacks, and arguments beyond its names, are ``[n]``.
     """
-    names = lookup_names(table)
-    rows = kept_records(records).select("model_id", "entity_id", "ifc_type", "ord", F.posexplode("arg_list").alias("pos", "raw"))
-    named = F.get(names(F.col("ifc_type")), F.col("pos"))
-    return rows.withColumn("attr_name", F.coalesce(named, F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))))
-
-
-def lookup_names(table: Mapping[str, tuple[str, ...]]):
-    """A function from a class column to the array of its attribute names."""
-    known = F.create_map(*[x for c, n in table.items() for x in (F.lit(c), F.array(*map(F.lit, n)))])
-    ruled = lambda kind: F.array(*map(F.lit, attribute_names(kind, {})))
-
-    def names(kind: Column) -> Column:
-        by_rule = F.when(F.endswith(kind, F.lit("TYPE")) | F.endswith(kind, F.lit("STYLE")), ruled("IFCXTYPE")).otherwise(ruled("IFCX"))
-        return F.coalesce(known[kind], by_rule)
-
-    return names
+    known = {**tables(), **(given or {})}
+    names = records.sparkSession.createDataFrame([(schema, kind, list(names)) for schema, table in known.items() for kind, names in table.items()], "known string, ifc_type string, names array<string>")
+    rows = kept_records(records).select(
+        "model_id", "entity_id", "ifc_type", "ord", F.when(F.col("schema").isin(*known), F.col("schema")).otherwise(LATEST).alias("known"), F.arrays_zip("arg_list", "members").alias("args")
+    )
+    rows = rows.join(F.broadcast(names), ["known", "ifc_type"], "left")  # a table of constants
+    rows = rows.select("model_id", "entity_id", "ifc_type", "ord", "names", F.posexplode("args").alias("pos", "arg"))
+    named = F.coalesce(F.get("names", F.col("pos")), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+    return rows.select("model_id", "entity_id", "ifc_type", "ord", "pos", named.alias("attr_name"), F.col("arg.arg_list").alias("raw"), F.col("arg.members").alias("members"))
 
 
 def entity_rows(records: DataFrame, arguments: DataFrame, mesh: DataFrame | None = None) -> DataFrame:
@@ -72,24 +70,44 @@ def entity_rows(records: DataFrame, arguments: DataFrame, mesh: DataFrame | None
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in ENTITIES.fields])
 
 
-def is_list(raw: Column) -> Column:
-    return F.startswith(F.trim(raw), F.lit("("))
+def attribute_rows(arguments: DataFrame) -> DataFrame:
+    """The attributes table: one row per member of a list, else one; absent values are empty text, references ``#id``."""
+    rows = arguments.where(~F.startswith("attr_name", F.lit("[")))
+    rows = rows.select("model_id", "entity_id", "attr_name", F.col("members").isNotNull().alias("many"), F.explode(F.coalesce("members", F.array("raw"))).alias("raw"))
+    rows = rows.select("model_id", "entity_id", "attr_name", "many", F.coalesce(decode_arg(F.col("raw")), F.lit("")).alias("value"))
+    return rows.where(~F.col("many") | (F.col("value") != "")).drop("many")
 
 
-def list_members(raw: Column) -> Column:
-    """Top-level members of a list argument."""
-    from girder.sources.step import split_args
+def raw_attributes(arguments: DataFrame) -> DataFrame:
+    """(model_id, entity_id, pos, attr_name, ref, value, values): every argument for display.
 
-    return split_args(F.regexp_replace(F.trim(raw), r"(?s)^\((.*)\)$", "$1"))
+    Of a list, ``values`` has all members and ``value`` the first four with the number of the others.
+    """
+    member = lambda m: F.when(F.startswith(m, F.lit("(")), "(…)").otherwise(F.coalesce(decode_arg(m), F.lit("$")))
+    rows = arguments.withColumn("values", F.transform("members", member))
+    more = F.size("values") - 4
+    shown = F.concat(F.array_join(F.slice("values", 1, 4), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(""))
+    listed = F.when(F.size("values") == 0, "()").otherwise(shown)
+    value = F.when(F.col("values").isNotNull(), listed).otherwise(decode_arg(F.col("raw")))
+    return rows.select("model_id", "entity_id", "pos", "attr_name", ref_id(F.col("raw")).alias("ref"), value.alias("value"), "values")
 
 
-def attribute_rows(arguments: DataFrame) -> DataFrame:
-    """The attributes table: one row per member of a list, else one; absent values are empty text, references ``#id``."""
-    rows = arguments.where(~F.startswith("attr_name", F.lit("[")))
-    lists = rows.where(is_list(F.col("raw"))).withColumn("raw", F.explode(list_members(F.col("raw"))))
-    value = F.coalesce(decode_arg(F.col("raw")), F.lit(""))
-    members = lists.select("model_id", "entity_id", "attr_name", value.alias("value")).where("value != ''")
-    return rows.where(~is_list(F.col("raw"))).select("model_id", "entity_id", "attr_name", value.alias("value")).unionByName(members)
+def display_values(records: DataFrame) -> DataFrame:
+    """(model_id, prop_id, value, unit): one text for each property that is no single value, as panels show it."""
+    arg = lambda k: F.get("arg_list", F.lit(k))
+    joined = F.nullif(F.array_join(F.filter(F.transform(F.get("members", F.lit(2)), decode_arg), lambda v: v.isNotNull()), ", "), F.lit(""))
+    low, high = decode_arg(arg(3)), decode_arg(arg(2))
+    bounds = F.when(low.isNotNull() | high.isNotNull(), F.concat(F.coalesce(low, F.lit("−∞")), F.lit(" … "), F.coalesce(high, F.lit("+∞"))))
+    kind = F.col("ifc_type")
+    value = (
+        F.when(kind.isin("IFCPROPERTYENUMERATEDVALUE", "IFCPROPERTYLISTVALUE", "IFCPROPERTYTABLEVALUE"), joined)
+        .when(kind == "IFCPROPERTYBOUNDEDVALUE", bounds)
+        .when(kind.isin("IFCPROPERTYREFERENCEVALUE", "IFCCOMPLEXPROPERTY"), decode_arg(arg(2)))
+    )
+    unit = F.when(kind == "IFCPROPERTYLISTVALUE", arg(3)).when(kind == "IFCPROPERTYBOUNDEDVALUE", arg(4))
+    unit = F.when(~F.startswith(unit, F.lit("#")), decode_arg(unit))
+    shown = ("IFCPROPERTYENUMERATEDVALUE", "IFCPROPERTYLISTVALUE", "IFCPROPERTYTABLEVALUE", "IFCPROPERTYBOUNDEDVALUE", "IFCPROPERTYREFERENCEVALUE", "IFCCOMPLEXPROPERTY")
+    return records.where(kind.isin(*shown)).select("model_id", F.col("entity_id").alias("prop_id"), value.alias("value"), unit.alias("unit"))
 
 
 def _argument(records: DataFrame, kind: str, *wanted: tuple[int, str]) -> DataFrame:
@@ -121,24 +139,32 @@ def default_units(records: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def authored_values(records: DataFrame) -> DataFrame:
-    """(model_id, prop_id, property_name, value, measure, unit_ref, unit_type) of every value of every supported property."""
+    """(model_id, prop_id, property_name, value, measure, unit_ref, unit_type) of every value of every supported property.
+
+    A record gives an array of (value, measure, unit type, unit), so all kinds of property come from one pass.
+    """
     arg = lambda k: F.get("arg_list", F.lit(k))
-    rows = records.withColumnsRenamed({"entity_id": "prop_id"})
-    name = decode_arg(arg(0)).alias("property_name")
-    single = rows.where("ifc_type = 'IFCPROPERTYSINGLEVALUE'").select("model_id", "prop_id", name, arg(2).alias("raw"), ref_id(arg(3)).alias("unit_ref"), lookup(MEASURE_UNIT_TYPE, cast_name(arg(2))).alias("unit_type"), cast_name(arg(2)).alias("measure"))
-    quantity_measure = F.concat(F.lit("IFC"), F.regexp_extract("ifc_type", "^IFCQUANTITY(.*)$", 1), F.lit("MEASURE"))
-    quantity = rows.where(F.startswith("ifc_type", F.lit("IFCQUANTITY"))).select(
-        "model_id", "prop_id", name, arg(3).alias("raw"), ref_id(arg(2)).alias("unit_ref"), lookup(QUANTITY_UNIT_TYPE, F.col("ifc_type")).alias("unit_type"),
-        F.replace(quantity_measure, F.lit("WEIGHT"), F.lit("MASS")).alias("measure"),
-    )
-    out = single.unionByName(quantity)
-    for kind, values, unit in MULTI:
-        own = rows.where(F.col("ifc_type") == kind)
-        raw = F.explode(list_members(arg(values))) if kind.endswith(("ENUMERATEDVALUE", "LISTVALUE", "TABLEVALUE")) else arg(values)
-        made = own.select("model_id", "prop_id", name, raw.alias("raw"), (ref_id(arg(unit)) if unit is not None else F.lit(None).cast("int")).alias("unit_ref"))
-        made = made.where(decode_arg(F.col("raw")).isNotNull()).withColumn("measure", cast_name(F.col("raw")))
-        out = out.unionByName(made.withColumn("unit_type", measure_unit_type(F.col("measure"))))
-    return out.withColumn("value", decode_arg(F.col("raw"))).drop("raw")
+    kind = F.col("ifc_type")
+
+    def entry(raw: Column, measure: Column, unit_type: Column, unit: Column) -> Column:
+        return F.struct(raw.alias("raw"), measure.alias("measure"), unit_type.alias("unit_type"), unit.alias("unit_ref"))
+
+    none = F.lit(None).cast("int")
+    quantity_measure = F.replace(F.concat(F.lit("IFC"), F.regexp_extract(kind, "^IFCQUANTITY(.*)$", 1), F.lit("MEASURE")), F.lit("WEIGHT"), F.lit("MASS"))
+    single = F.array(entry(arg(2), cast_name(arg(2)), lookup(MEASURE_UNIT_TYPE, cast_name(arg(2))), ref_id(arg(3))))
+    quantity = F.array(entry(arg(3), quantity_measure, lookup(QUANTITY_UNIT_TYPE, kind), ref_id(arg(2))))
+    made = F.when(kind == "IFCPROPERTYSINGLEVALUE", single).when(F.startswith(kind, F.lit("IFCQUANTITY")), quantity)
+    for of in dict.fromkeys(k for k, _, _ in MULTI):
+        parts = []
+        for _, values, unit in (rule for rule in MULTI if rule[0] == of):
+            several = F.coalesce(F.get("members", F.lit(values)), F.array(arg(values)))
+            of_unit = ref_id(arg(unit)) if unit is not None else none
+            own = F.transform(several, lambda raw, of_unit=of_unit: entry(raw, cast_name(raw), measure_unit_type(cast_name(raw)), of_unit))
+            parts.append(F.filter(own, lambda e: decode_arg(e["raw"]).isNotNull()))
+        made = made.when(kind == of, F.concat(*parts))
+    rows = records.where(F.startswith(kind, F.lit("IFCPROPERTY")) | F.startswith(kind, F.lit("IFCQUANTITY")))
+    rows = rows.select("model_id", F.col("entity_id").alias("prop_id"), decode_arg(arg(0)).alias("property_name"), F.explode(made).alias("e"))
+    return rows.select("model_id", "prop_id", "property_name", "e.unit_ref", "e.measure", "e.unit_type", decode_arg(F.col("e.raw")).alias("value"))
 
 
 def with_units(values: DataFrame, records: DataFrame) -> DataFrame:
@@ -168,9 +194,11 @@ def property_rows(records: DataFrame, entities: DataFrame, triples: DataFrame, a
     return listed.select(*names).unionByName(fixed.select(*names))
 
 
-def ingest(records: DataFrame, profile: str = "learning", table: Mapping[str, tuple[str, ...]] = KNOWN, mesh: DataFrame | None = None) -> ModelTables:
-    """Base tables of all models in ``records``."""
-    arguments = named_arguments(records, table)
+def ingest(records: DataFrame, profile: str = "learning", given: Mapping[str, Table] | None = None, mesh: DataFrame | None = None) -> ModelTables:
+    """Base tables of all models in ``records``; ``given`` has attribute names by schema that go before the built-in ones."""
+    scratch = Scratch(records.sparkSession, "ingest")
+    records = scratch.save(records, "records")
+    arguments = scratch.save(named_arguments(records, given), "arguments")
     entities = entity_rows(records, arguments, mesh)
-    triples = extract_edges(records, profile).select(*[f.name for f in TRIPLES.fields])
+    triples = scratch.save(edges_of_written(records, scratch, profile).select(*[f.name for f in TRIPLES.fields]), "triples")
     return ModelTables(entities, triples, property_rows(records, entities, triples, arguments), attribute_rows(arguments).select(*[f.name for f in ATTRIBUTES.fields]))

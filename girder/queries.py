@@ -75,7 +75,7 @@ def sql_number(column: str) -> str:
 
 
 def with_model(select: str) -> str:
-    return f"WITH RECURSIVE {ORACLE_BASE}, {VIEWS_SQL} {select}"
+    return f"WITH RECURSIVE {ORACLE_BASE.replace(' AS (SELECT', ' AS MATERIALIZED (SELECT')}, {VIEWS_SQL} {select}"
 
 
 def register(name: str, oracle: str | None = None, model: bool = False):
@@ -393,6 +393,15 @@ def step_list_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step.records(step_texts(spark, sf_dir)).select("entity_id", F.concat(F.lit("["), F.array_join(refs.cast("array<string>"), ", "), F.lit("]")).alias("refs"))
 
 
+@register("step_encode_args", "SELECT o_orderkey, '#' || (o_custkey + 1) || ',''it''''s, ' || o_orderpriority || ''',.' || o_orderstatus || '.,(#1,$,#' || o_orderkey || '),' || o_orderkey || ',$' AS args, 6 AS n FROM orders")
+def step_encode_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values become the text of a record's arguments, which splits into as many again."""
+    key = F.col("o_orderkey")
+    listed = step.encode_list(F.array(step.encode_ref(F.lit(1)), F.lit(None).cast("string"), step.encode_ref(key)))
+    args = step.encode_args(step.encode_ref(F.col("o_custkey") + 1), step.encode_text(F.concat(F.lit("it's, "), F.col("o_orderpriority"))), step.encode_enum(F.col("o_orderstatus")), listed, step.encode_number(key), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", args.alias("args")).withColumn("n", F.size(step.split_args("args")))
+
+
 @register("step_schema", "SELECT DISTINCT concat('m', CAST(o_orderkey % 64 AS VARCHAR)) AS model_id, 'IFC4' AS schema FROM orders")
 def step_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step_texts(spark, sf_dir).select("model_id", step.schema_name(F.col("text")).alias("schema"))
@@ -524,8 +533,214 @@ def ingest_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
        UNION ALL SELECT concat('c', CAST(c_custkey AS VARCHAR)), 10, 'Lining', 'LiningDepth', '50.', NULL FROM customer""",
 )
 def ingest_psets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lining = {**ingest.KNOWN, "IFCDOORLININGPROPERTIES": ("GlobalId", "OwnerHistory", "Name", "Description", "LiningDepth", "LiningThickness")}
-    return ingest.ingest(model_records(spark, sf_dir), table=lining).properties.select("model_id", "entity_id", "pset_name", "property_name", "value", "data_type")
+    return ingest.ingest(model_records(spark, sf_dir)).properties.select("model_id", "entity_id", "pset_name", "property_name", "value", "data_type")
+
+
+def suppliers_as_models(spark: SparkSession, sf_dir: str, lines: list[str], schema: str = "IFC4") -> DataFrame:
+    """The records of these lines, once for each supplier, as a model of its own; ``{key}`` stands for the supplier's key."""
+    text = F.lit(f"FILE_SCHEMA(('{schema}'));\nDATA;\n" + "\n".join(lines))
+    key = F.col("s_suppkey").cast("string")
+    return step.records(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key).alias("model_id"), F.replace(text, F.lit("{key}"), key).alias("text")))
+
+
+def _per_supplier(rows: list[tuple], columns: str) -> str:
+    literal = lambda v: "NULL" if v is None else repr(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return f"SELECT concat('s', CAST(s_suppkey AS VARCHAR)) AS model_id, {columns} FROM supplier, (VALUES {values}) t"
+
+
+#: One record for each edge rule, number 9 beside the walls 1 to 3, and the edges that it makes.
+EDGE_CASES = """
+IFCRELAGGREGATES('g',$,$,$,#1,(#2,#3)) IfcRelAggregates 1>2 1>3
+IFCRELCONTAINEDINSPATIALSTRUCTURE('g',$,$,$,(#2,#3),#1) IfcRelContainedInSpatialStructure 1>2 1>3
+IFCRELDEFINESBYPROPERTIES('g',$,$,$,(#1,#2),#3) IfcRelDefinesByProperties 1>3 2>3
+IFCRELDEFINESBYTYPE('g',$,$,$,(#1,#2),#3) IfcRelDefinesByType 3>1 3>2
+IFCRELVOIDSELEMENT('g',$,$,$,#1,#2) IfcRelVoidsElement 1>2
+IFCRELFILLSELEMENT('g',$,$,$,#1,#2) IfcRelFillsElement 1>2
+IFCRELCONNECTSELEMENTS('g',$,$,$,$,#1,#2) IfcRelConnectsElements 1>2
+IFCRELCONNECTSPATHELEMENTS('g',$,$,$,$,#1,#2,(),(),.ATEND.,.ATSTART.) IfcRelConnectsPathElements 1>2
+IFCRELASSOCIATESCLASSIFICATION('g',$,$,$,(#1,#2),#3) IfcRelAssociatesClassification 1>3 2>3
+IFCRELASSOCIATESDOCUMENT('g',$,$,$,(#1,#2),#3) IfcRelAssociatesDocument 1>3 2>3
+IFCRELASSOCIATESMATERIAL('g',$,$,$,(#1,#2),#3) IfcRelAssociatesMaterial 1>3 2>3
+IFCRELASSIGNSTOGROUP('g',$,$,$,(#1,#2),$,#3) IfcRelAssignsToGroup 3>1 3>2
+IFCRELSPACEBOUNDARY('g',$,$,$,#1,#2,$,.PHYSICAL.,.EXTERNAL.) IfcRelSpaceBoundary 1>2
+IFCRELSPACEBOUNDARY1STLEVEL('g',$,$,$,#1,#2,$,.PHYSICAL.,.EXTERNAL.,$) IfcRelSpaceBoundary 1>2
+IFCRELSPACEBOUNDARY2NDLEVEL('g',$,$,$,#1,#2,$,.PHYSICAL.,.EXTERNAL.,$,$) IfcRelSpaceBoundary 1>2
+IFCRELNESTS('g',$,$,$,#1,(#2,#3)) IfcRelNests 1>2 1>3
+IFCRELDECLARES('g',$,$,$,#1,(#2,#3)) IfcRelDeclares 1>2 1>3
+IFCRELDEFINESBYOBJECT('g',$,$,$,(#1,#2),#3) IfcRelDefinesByObject 3>1 3>2
+IFCRELDEFINESBYTEMPLATE('g',$,$,$,(#1,#2),#3) IfcRelDefinesByTemplate 3>1 3>2
+IFCRELASSIGNSTOACTOR('g',$,$,$,(#1,#2),$,#3,$) IfcRelAssignsToActor 3>1 3>2
+IFCRELASSIGNSTOCONTROL('g',$,$,$,(#1,#2),$,#3) IfcRelAssignsToControl 3>1 3>2
+IFCRELASSIGNSTOGROUPBYFACTOR('g',$,$,$,(#1,#2),$,#3,0.5) IfcRelAssignsToGroup 3>1 3>2
+IFCRELASSIGNSTOPROCESS('g',$,$,$,(#1,#2),$,#3,$) IfcRelAssignsToProcess 3>1 3>2
+IFCRELASSIGNSTOPRODUCT('g',$,$,$,(#1,#2),$,#3) IfcRelAssignsToProduct 3>1 3>2
+IFCRELASSIGNSTORESOURCE('g',$,$,$,(#1,#2),$,#3) IfcRelAssignsToResource 3>1 3>2
+IFCRELASSOCIATESAPPROVAL('g',$,$,$,(#1,#2),#3) IfcRelAssociatesApproval 1>3 2>3
+IFCRELASSOCIATESCONSTRAINT('g',$,$,$,(#1,#2),'intent',#3) IfcRelAssociatesConstraint 1>3 2>3
+IFCRELASSOCIATESLIBRARY('g',$,$,$,(#1,#2),#3) IfcRelAssociatesLibrary 1>3 2>3
+IFCRELASSOCIATESPROFILEDEF('g',$,$,$,(#1,#2),#3) IfcRelAssociatesProfileDef 1>3 2>3
+IFCRELADHERESTOELEMENT('g',$,$,$,#1,(#2,#3)) IfcRelAdheresToElement 1>2 1>3
+IFCRELCOVERSBLDGELEMENTS('g',$,$,$,#1,(#2,#3)) IfcRelCoversBldgElements 1>2 1>3
+IFCRELCOVERSSPACES('g',$,$,$,#1,(#2,#3)) IfcRelCoversSpaces 1>2 1>3
+IFCRELPROJECTSELEMENT('g',$,$,$,#1,#2) IfcRelProjectsElement 1>2
+IFCRELCONNECTSPORTTOELEMENT('g',$,$,$,#1,#2) IfcRelConnectsPortToElement 1>2
+IFCRELCONNECTSPORTS('g',$,$,$,#1,#2,$) IfcRelConnectsPorts 1>2
+IFCRELCONNECTSSTRUCTURALACTIVITY('g',$,$,$,#1,#2) IfcRelConnectsStructuralActivity 1>2
+IFCRELCONNECTSSTRUCTURALMEMBER('g',$,$,$,#1,#2,$,$,$,$) IfcRelConnectsStructuralMember 1>2
+IFCRELCONNECTSWITHECCENTRICITY('g',$,$,$,#1,#2,$,$,$,$,$) IfcRelConnectsStructuralMember 1>2
+IFCRELCONNECTSWITHREALIZINGELEMENTS('g',$,$,$,$,#1,#2,(#3),$) IfcRelConnectsElements 1>2
+IFCRELINTERFERESELEMENTS('g',$,$,$,#1,#2,$,$,.F.) IfcRelInterferesElements 1>2
+IFCRELFLOWCONTROLELEMENTS('g',$,$,$,(#1,#2),#3) IfcRelFlowControlElements 3>1 3>2
+IFCRELSEQUENCE('g',$,$,$,#1,#2,$,.FINISH_START.,$) IfcRelSequence 1>2
+IFCRELSERVICESBUILDINGS('g',$,$,$,#1,(#2,#3)) IfcRelServicesBuildings 1>2 1>3
+IFCRELREFERENCEDINSPATIALSTRUCTURE('g',$,$,$,(#2,#3),#1) IfcRelReferencedInSpatialStructure 1>2 1>3
+IFCRELPOSITIONS('g',$,$,$,#1,(#2,#3)) IfcRelPositions 1>2 1>3
+IFCEXTERNALREFERENCERELATIONSHIP('n',$,#3,(#1,#2)) IfcRelAssociatesClassification 1>3 2>3 hasMaterialClassification 9>3
+IFCMATERIALCONSTITUENTSET('n',$,(#1,#2)) hasMaterialConstituent 9>1 9>2
+IFCMATERIALLAYERSET((#1,#2),'n',$) hasMaterialLayer 9>1 9>2
+IFCMATERIALPROFILESET('n',$,(#1,#2),$) hasMaterialProfile 9>1 9>2
+IFCMATERIALLIST((#1,#2)) hasMaterial 9>1 9>2
+IFCMATERIALCONSTITUENT('n',$,#1,$,$) hasMaterial 9>1
+IFCMATERIALLAYER(#1,0.2,$,'n',$,$,$) hasMaterial 9>1
+IFCMATERIALPROFILE('n',$,#1,$,$,$) hasMaterial 9>1
+IFCMATERIALLAYERWITHOFFSETS(#1,0.2,$,'n',$,$,$,.AXIS1.,(0.)) hasMaterial 9>1
+IFCMATERIALPROFILEWITHOFFSETS('n',$,#1,$,$,$,(0.)) hasMaterial 9>1
+IFCMATERIALLAYERSETUSAGE(#1,.AXIS2.,.POSITIVE.,0.,$) hasMaterialLayerSet 9>1
+IFCMATERIALPROFILESETUSAGE(#1,5,$) hasMaterialProfileSet 9>1
+IFCMATERIALCLASSIFICATIONRELATIONSHIP((#1,#2),$) hasMaterialClassification 9>1 9>2
+IFCPROPERTYSET('g',$,'n',$,(#1,#2)) hasProperty 9>1 9>2
+IFCELEMENTQUANTITY('g',$,'n',$,$,(#1,#2)) hasQuantity 9>1 9>2
+IFCPROPERTYSETTEMPLATE('g',$,'n',$,$,$,(#1,#2)) hasTemplate 9>1 9>2
+IFCCOMPLEXPROPERTY('n',$,'u',(#1,#2)) hasProperty 9>1 9>2
+IFCAPPROVALRELATIONSHIP('n',$,#1,#2) relatedApproval 9>1 relatingApproval 9>2
+IFCCLASSIFICATIONREFERENCE($,'c','n',#1,$,$) hasClassificationReference 1>9
+IFCDOORTYPE('g',$,'n',$,$,(#1,#2),$,$,$,.DOOR.,$,$,$) hasPropertySet 9>1 9>2
+IFCWINDOWSTYLE('g',$,'n',$,$,(#1,#2),$,$,.WOOD.,.SINGLE_PANEL.,.F.,.F.) hasPropertySet 9>1 9>2
+IFCSHAPEREPRESENTATION(#1,'Body','Brep',(#2)) none
+""".strip().splitlines()
+
+
+def _edge_cases() -> list[tuple[int, str, list[tuple[int, str, int]]]]:
+    out = []
+    for number, case in enumerate(EDGE_CASES):
+        end = case.rindex(") ") + 1
+        predicate, made = "", []
+        for word in case[end:].split():
+            if ">" in word:
+                made.append((int(word.split(">")[0]), predicate, int(word.split(">")[1])))
+            else:
+                predicate = word
+        out.append((number, case[:end], made))
+    return out
+
+
+@register(
+    "edges_each_rule",
+    "SELECT r_regionkey, t.col0 AS rule, t.col1 AS subject, t.col2 AS predicate, t.col3 AS object FROM region, (VALUES "
+    + ", ".join(f"({n}, {s}, '{p}', {o})" for n, _, made in _edge_cases() for s, p, o in made)
+    + ") t",
+)
+def edges_each_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walls = "\n".join(f"#{k}=IFCWALL('g',$,'w',$,$,$,$,$,$);" for k in (1, 2, 3))
+    texts = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(f"DATA;\n{walls}\n#9={line};").alias("text")) for n, line, _ in _edge_cases()])
+    models = table(spark, sf_dir, "region").select("r_regionkey", F.explode(texts).alias("t")).select(F.concat_ws("-", "r_regionkey", "t.rule").alias("model_id"), "t.text")
+    key, rule = (F.split("model_id", "-")[k].cast("int") for k in (0, 1))
+    return edges.named_edges(step.records(models)).select(key.alias("r_regionkey"), rule.alias("rule"), "subject", "predicate", "object")
+
+
+@register(
+    "ingest_predefined_types",
+    _per_supplier(
+        [
+            (1, "IFCSTAIRFLIGHT", "Flight", "STRAIGHT"), (2, "IFCFURNITURETYPE", "Chair", "CHAIR"), (3, "IFCTASK", "Task", "LOGISTIC"), (4, "IFCSPACE", "Room", "INTERNAL"),
+            (5, "IFCPILE", "Pile", "DRIVEN"), (6, "IFCREINFORCINGBAR", "Bar", "MAIN"), (7, "IFCDOORTYPE", "Doors", "GATE"), (8, "IFCNOSUCHCLASS", None, None),
+        ],
+        "t.col0 AS entity_id, t.col1 AS ifc_type, t.col2 AS name, t.col3 AS predefined_type",
+    ),
+)
+def ingest_predefined_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes by their place in each class; a class that the schema lacks gets no guessed names."""
+    lines = [
+        "#1=IFCSTAIRFLIGHT('g',$,'Flight',$,$,$,$,$,12,11,0.18,0.27,.STRAIGHT.);",
+        "#2=IFCFURNITURETYPE('g',$,'Chair',$,$,$,$,$,$,.FACTORY.,.CHAIR.);",
+        "#3=IFCTASK('g',$,'Task',$,$,'T1',$,$,$,.F.,$,$,.LOGISTIC.);",
+        "#4=IFCSPACE('g',$,'Room',$,$,$,$,'Long room',.ELEMENT.,.INTERNAL.,$);",
+        "#5=IFCPILE('g',$,'Pile',$,$,$,$,$,.DRIVEN.,$);",
+        "#6=IFCREINFORCINGBAR('g',$,'Bar',$,$,$,$,$,$,0.012,0.0001,$,.MAIN.,$);",
+        "#7=IFCDOORTYPE('g',$,'Doors',$,$,$,$,$,$,.GATE.,$,$,$);",
+        "#8=IFCNOSUCHCLASS('g',$,'x',$,$,$,$,$,.NOTHING.);",
+    ]
+    rows = ingest.ingest(suppliers_as_models(spark, sf_dir, lines)).entities
+    return rows.select("model_id", "entity_id", "ifc_type", "name", "predefined_type")
+
+
+@register(
+    "ingest_older_schema",
+    _per_supplier([(1, "Room", "ElevationWithFlooring", "0.5"), (2, "Stair", "ShapeType", "STRAIGHT"), (3, None, "ItemReference", "C1")], "t.col0 AS entity_id, t.col1 AS name, t.col2 AS attr_name, t.col3 AS value"),
+)
+def ingest_older_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by the schema that the file's header states."""
+    lines = ["#1=IFCSPACE('g',$,'Room',$,$,$,$,$,.ELEMENT.,.INTERNAL.,0.5);", "#2=IFCSTAIR('g',$,'Stair',$,$,$,$,$,.STRAIGHT.);", "#3=IFCCLASSIFICATIONREFERENCE('l','C1',$,$);"]
+    tables = ingest.ingest(suppliers_as_models(spark, sf_dir, lines, "IFC2X3"))
+    rows = tables.attributes.where(F.col("attr_name").isin("ElevationWithFlooring", "ShapeType", "ItemReference"))
+    return rows.join(tables.entities, ["model_id", "entity_id"]).select("model_id", "entity_id", "name", "attr_name", "value")
+
+
+@register(
+    "ingest_quantities",
+    """SELECT concat('s', CAST(s_suppkey AS VARCHAR)) AS model_id, t.col0 AS property_name, s_suppkey::DOUBLE AS value_num, s_suppkey::DOUBLE * t.col1 AS value_si, t.col2 AS unit, t.col3 AS data_type
+       FROM supplier, (VALUES ('Length', 0.001::DOUBLE, 'MILLIMETRE', 'IFCLENGTHMEASURE'), ('Area', 1::DOUBLE, NULL, 'IFCAREAMEASURE'), ('Weight', 1000::DOUBLE, 'KILOGRAM', 'IFCMASSMEASURE'),
+         ('Count', 1::DOUBLE, NULL, 'IFCCOUNTMEASURE'), ('Own', 1::DOUBLE, 'METRE', 'IFCLENGTHMEASURE')) t""",
+)
+def ingest_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = [
+        "#1=IFCSIUNIT(*,.LENGTHUNIT.,.MILLI.,.METRE.);", "#2=IFCSIUNIT(*,.MASSUNIT.,.KILO.,.GRAM.);", "#3=IFCUNITASSIGNMENT((#1,#2));", "#4=IFCSIUNIT(*,.LENGTHUNIT.,$,.METRE.);",
+        "#10=IFCWALL('g',$,'Wall',$,$,$,$,$,$);", "#11=IFCRELDEFINESBYPROPERTIES('g',$,$,$,(#10),#12);", "#12=IFCELEMENTQUANTITY('g',$,'Qto_Wall',$,$,(#13,#14,#15,#16,#17));",
+        "#13=IFCQUANTITYLENGTH('Length',$,$,{key}.,$);", "#14=IFCQUANTITYAREA('Area',$,$,{key}.,$);", "#15=IFCQUANTITYWEIGHT('Weight',$,$,{key}.,$);",
+        "#16=IFCQUANTITYCOUNT('Count',$,$,{key},$);", "#17=IFCQUANTITYLENGTH('Own',$,#4,{key}.,$);",
+    ]
+    rows = ingest.ingest(suppliers_as_models(spark, sf_dir, lines)).properties
+    return rows.select("model_id", "property_name", "value_num", "value_si", "unit", "data_type")
+
+
+_DISPLAY = [
+    "#1=IFCPROPERTYENUMERATEDVALUE('E',$,(IFCLABEL('a'),IFCLABEL('b'),$),$);",
+    "#2=IFCPROPERTYLISTVALUE('L',$,(IFCREAL(1.),IFCREAL(2.)),.MILLI.);",
+    "#3=IFCPROPERTYBOUNDEDVALUE('B',$,IFCREAL(3.),IFCREAL(1.),#9,$);",
+    "#4=IFCPROPERTYBOUNDEDVALUE('B',$,$,IFCREAL(1.),$,$);",
+    "#5=IFCPROPERTYTABLEVALUE('T',$,(IFCREAL(1.)),(IFCREAL(5.)),$,$,$,$);",
+    "#6=IFCPROPERTYREFERENCEVALUE('R',$,'usage',#9);",
+    "#7=IFCCOMPLEXPROPERTY('C',$,'kind',(#1));",
+    "#8=IFCPROPERTYLISTVALUE('L',$,(),$);",
+]
+
+
+@register(
+    "ingest_display_values",
+    _per_supplier(
+        [(1, "a, b", None), (2, "1., 2.", "MILLI"), (3, "1. … 3.", None), (4, "1. … +∞", None), (5, "1.", None), (6, "usage", None), (7, "kind", None), (8, None, None)],
+        "t.col0 AS prop_id, t.col1 AS value, t.col2 AS unit",
+    ),
+)
+def ingest_display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.display_values(suppliers_as_models(spark, sf_dir, _DISPLAY))
+
+
+@register(
+    "ingest_raw_attributes",
+    _per_supplier(
+        [
+            (0, "Identification", None, "P", None), (1, "FamilyName", None, None, None), (2, "GivenName", None, "x", None), (3, "MiddleNames", None, "a, b, c, d (+2)", 6), (4, "PrefixTitles", None, "()", 0),
+            (5, "SuffixTitles", None, None, None), (6, "Roles", None, "#7, $, (…)", 3), (7, "Addresses", 8, "#8", None),
+        ],
+        "t.col0 AS pos, t.col1 AS attr_name, t.col2 AS ref, t.col3 AS value, t.col4 AS n",
+    ),
+)
+def ingest_raw_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = suppliers_as_models(spark, sf_dir, ["#1=IFCPERSON('P',$,'x',('a','b','c','d','e','f'),(),$,(#7,$,(#8)),#8);"])
+    rows = ingest.raw_attributes(ingest.named_arguments(records))
+    return rows.select("model_id", "pos", "attr_name", "ref", "value", F.when(F.col("values").isNotNull(), F.size("values")).alias("n"))
 
 
 @register("ingest_attributes", _per_customer("('Identification', 'P'), ('FamilyName', ''), ('GivenName', 'x'), ('GivenName', 'y'), ('MiddleNames', ''), ('PrefixTitles', ''), ('SuffixTitles', ''), ('Roles', ''), ('Addresses', '')", "t.col0 AS attr_name, t.col1 AS value"))

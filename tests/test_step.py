@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from girder.functions import guid
 from girder.operators import edges, ingest
 from girder.sources import step
-from girder.sources.ifc_schema import attribute_names, from_express
+from girder.sources.ifc_schema import from_express, table_of
 
 DEMO = """ISO-10303-21;
 HEADER;
@@ -89,5 +89,27 @@ def test_express():
       Right : TRUE;
     END_ENTITY;"""
     assert from_express(text)["IFCWALL"] == ("GlobalId", "Name", "Tag")
-    assert attribute_names("IFCSIUNIT") == ("Dimensions", "UnitType", "Prefix", "Name")
-    assert attribute_names("IFCPUMPTYPE")[4:6] == ("ApplicableOccurrence", "HasPropertySets")
+    assert table_of("IFC4")["IFCSIUNIT"] == ("Dimensions", "UnitType", "Prefix", "Name")
+    assert table_of(None)["IFCPUMPTYPE"][4:6] == ("ApplicableOccurrence", "HasPropertySets")
+
+
+def test_schema_tables():
+    latest, older = table_of("IFC4X3"), table_of("ifc2x3")
+    assert len(latest) > 500 and "IFCNOSUCHCLASS" not in latest
+    assert latest["IFCSTAIRFLIGHT"][8:] == ("NumberOfRisers", "NumberOfTreads", "RiserHeight", "TreadLength", "PredefinedType")
+    assert latest["IFCDOORPANELPROPERTIES"][4:] == ("PanelDepth", "PanelOperation", "PanelWidth", "PanelPosition", "ShapeAspectStyle")
+    assert older["IFCSTAIR"][-1] == "ShapeType" and latest["IFCSTAIR"][-1] == "PredefinedType"
+    assert table_of("IFC9", {"IFC9": {"IFCX": ("A",)}}) == {"IFCX": ("A",)}
+    assert all(len(set(names)) == len(names) for names in (*latest.values(), *older.values()))
+
+
+def test_comments_and_members(spark):
+    text = "DATA;\n/* #1=IFCWALL('no'); */ #2=IFCX('a /* b */ c',/* d */ ('x','y, z'),(#1,(#2)),$);"
+    row = records(spark, text).first()
+    assert (row.entity_id, row.arg_list[0], row.schema) == (2, "'a /* b */ c'", "UNKNOWN")
+    assert row.members == [None, ["'x'", "'y, z'"], ["#1", "(#2)"], None]
+
+
+def test_given_schema_goes_first(spark):
+    rows = ingest.named_arguments(records(spark), {"IFC4": {"IFCWALL": ("A", "B")}, "IFC4X3": {}}).where("entity_id = 4").orderBy("pos").collect()
+    assert [r.attr_name for r in rows[:3]] == ["A", "B", "[2]"]
\ No newline at end of file
