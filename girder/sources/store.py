@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
+import warnings
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,14 +58,20 @@ class _Files:
 
 
 class ModelStore:
-    """Tables partitioned by model_id; saving a model replaces its partitions and no others."""
+    """Tables partitioned by model_id; saving a model replaces its partitions in all tables and no others."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark)
 
-    def save(self, tables: ModelTables) -> None:
-        for name, df in tables.as_dict().items():
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id").parquet(f"{self.root}/{name}")
+    def save(self, tables: ModelTables, model_ids: Iterable[str] | None = None) -> None:
+        """Write the models of ``tables``; of ``model_ids`` those that a table has no rows of lose what it has of them so far."""
+        frames = tables.as_dict()
+        present = {name: {r[0] for r in df.select("model_id").distinct().collect()} for name, df in frames.items()}  # one row per model
+        saved = set(model_ids or ()).union(*present.values())
+        for name, df in frames.items():
+            df.repartition("model_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id").parquet(f"{self.root}/{name}")
+            for model_id in saved - present[name]:
+                self.files.delete(f"{self.root}/{name}/model_id={model_id}")
 
     def load(self, model_ids: list[str] | None = None) -> ModelTables:
         found = {}
@@ -103,51 +112,85 @@ def import_snapshot(spark: SparkSession, path: str) -> ModelTables:
 
 
 class ModelCache:
-    """Snapshots by model id; those of another format are purged when listed."""
+    """A store of parsed models and a catalogue: one small file per change, replayed in the order of their names.
+
+    An entry is written after its tables, so a broken save is no model. Models of another format are purged when listed.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark)
+        self.store = ModelStore(spark, f"{self.root}/tables")
+
+    def _note(self, **entry) -> None:
+        self.files.write(f"{self.root}/catalogue/{time.time_ns():020d}-{uuid.uuid4().hex}.json", json.dumps({"format": FORMAT, "at": time.time(), **entry}))
+
+    def _known(self) -> dict[str, tuple[str, float]]:
+        """Format and time of saving of every model that was not deleted since."""
+        known: dict[str, tuple[str, float]] = {}
+        for name in sorted(n for n in self.files.names(f"{self.root}/catalogue") if n.endswith(".json")):
+            try:
+                entry = json.loads(self.files.read(f"{self.root}/catalogue/{name}"))
+                known.update((m, (entry["format"], entry["at"])) for m in entry.get("saved", ()))
+                for m in entry.get("deleted", ()):
+                    known.pop(m, None)
+            except (ValueError, KeyError, TypeError):  # no entry: what it was about counts as not saved
+                continue
+        return known
 
     def write(self, model_id: str, tables: ModelTables) -> None:
-        export_snapshot(tables.where_models([model_id]), f"{self.root}/{model_id}")
+        self.write_all([model_id], tables.where_models([model_id]))
+
+    def write_all(self, model_ids: list[str], tables: ModelTables) -> None:
+        """Save the models with one write per table; ``tables`` has no others."""
+        self.store.save(tables, model_ids)
+        self._note(saved=list(model_ids))
 
     def restore(self, model_id: str) -> ModelTables | None:
-        path = f"{self.root}/{model_id}"
-        return import_snapshot(self.spark, path) if self.files.exists(path) else None
+        return self.store.load([model_id]) if model_id in self.saved() else None
+
+    def saved(self) -> set[str]:
+        return {m for m, (kind, _) in self._known().items() if kind == FORMAT}
 
     def list(self) -> list[tuple[str, float]]:
         """(model_id, time of saving), newest first."""
-        found = []
-        for name in self.files.names(self.root):
-            try:
-                found.append((name, read_manifest(self.spark, f"{self.root}/{name}")["saved_at"]))
-            except StaleSnapshotError:
-                self.delete(name)
-        return sorted(found, key=lambda x: (-x[1], x[0]))
+        known = self._known()
+        for model_id, (kind, _) in known.items():
+            if kind != FORMAT:
+                self.delete(model_id)
+        return sorted(((m, at) for m, (kind, at) in known.items() if kind == FORMAT), key=lambda x: (-x[1], x[0]))
 
     def delete(self, model_id: str) -> None:
-        self.files.delete(f"{self.root}/{model_id}")
+        self._note(deleted=[model_id])
+        self.store.drop(model_id)
 
     def clear(self) -> None:
         self.files.delete(self.root)
 
 
 def load_models(spark: SparkSession, path: str, cache: ModelCache | None = None, profile: str = "learning") -> tuple[list[str], ModelTables]:
-    """Read STEP files; files whose content the cache has are restored instead of parsed."""
-    from functools import reduce
+    """Read STEP files; files whose content the cache has are restored instead of parsed, all of them in one scan.
 
+    New models are parsed in one job and saved with one write per table. A cache that cannot be written to fails no load.
+    """
     from girder.operators.ingest import ingest
     from girder.sources.step import read_files, records
 
     files = read_files(spark, path)
-    ids = [r[0] for r in files.select("model_id").distinct().collect()]  # one row per file
-    known = {m: t for m in ids if cache is not None and (t := cache.restore(m)) is not None}
-    fresh = [m for m in ids if m not in known]
-    parts = list(known.values())
-    if fresh:
-        made = ingest(records(files.where(files["model_id"].isin(fresh)).dropDuplicates(["model_id"])), profile)
-        for m in fresh if cache is not None else ():
-            cache.write(m, made)
-        parts.append(made)
-    merged = [reduce(DataFrame.unionByName, frames) for frames in zip(*(list(t.as_dict().values()) for t in parts), strict=True)]
-    return sorted(ids), ModelTables(*merged)
+    ids = sorted(r[0] for r in files.select("model_id").distinct().collect())  # one row per file
+    saved = cache.saved() if cache is not None else set()
+    known, fresh = [m for m in ids if m in saved], [m for m in ids if m not in saved]
+    if not fresh:
+        return ids, cache.store.load(known) if cache is not None else ingest(records(files), profile)
+    wanted = spark.createDataFrame([(m,) for m in fresh], "model_id string")
+    made = ingest(records(files.join(wanted, "model_id", "left_semi").dropDuplicates(["model_id"])), profile)
+    if cache is None:
+        return ids, made
+    try:
+        cache.write_all(fresh, made)
+        return ids, cache.store.load(ids)
+    except Exception as error:
+        warnings.warn(f"parsed models were not saved: {error}", stacklevel=2)
+    if not known:
+        return ids, made
+    old = cache.store.load(known).as_dict()
+    return ids, ModelTables(*(old[name].unionByName(df) for name, df in made.as_dict().items()))
