@@ -217,12 +217,16 @@ def value_holds(facet: Property) -> Column:
 
 
 def ancestors(triples: DataFrame, scope: DataFrame, relation: str = "", depth: int = PART_OF_DEPTH) -> DataFrame:
-    """(model_id, entity_id, whole_id): the wholes of each entity in scope, up to ``depth`` edges above it."""
+    """(model_id, entity_id, whole_id): the wholes of each entity in scope, up to ``depth`` edges above it.
+
+    The walk starts at the wholes, which are few, as one row with a column per level; entities join its end.
+    """
     allowed = F.lower("predicate") == relation.lower() if relation else F.col("predicate").isin(*PART_OF_RELATIONS)
     up = triples.where(allowed).select("model_id", F.col("object").alias("node"), F.col("subject").alias("whole_id")).distinct()
-    level = scope.select("model_id", "entity_id", F.col("entity_id").alias("whole_id"))
-    levels = []
-    for _ in range(depth):
-        level = level.select("model_id", "entity_id", F.col("whole_id").alias("node")).join(up, ["model_id", "node"]).select("model_id", "entity_id", "whole_id").distinct()
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    walk = up.select("model_id", F.col("whole_id").alias("n0")).distinct()
+    for k in range(depth - 1):
+        walk = walk.join(up.select("model_id", F.col("node").alias(f"n{k}"), F.col("whole_id").alias(f"n{k + 1}")), ["model_id", f"n{k}"], "left")
+    above = F.explode(F.array_distinct(F.array_compact(F.array(*[f"n{k}" for k in range(depth)])))).alias("whole_id")
+    closure = walk.select("model_id", F.col("n0").alias("first"), above).distinct()
+    own = scope.select("model_id", "entity_id", F.col("entity_id").alias("node")).join(up.withColumnRenamed("whole_id", "first"), ["model_id", "node"])
+    return own.select("model_id", "entity_id", "first").join(closure, ["model_id", "first"]).select("model_id", "entity_id", "whole_id").distinct()

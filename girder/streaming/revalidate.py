@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from girder.operators.report import report_rows
-from girder.plans.evaluate import evaluate_spec
+from girder.plans.evaluate import evaluate_document
 from girder.plans.rules import Document
 from girder.schema import ENTITIES
 from girder.sources.store import ModelStore
@@ -25,7 +25,8 @@ def revalidate(spark: SparkSession, store_root: str, document: Document, out: st
         if not models:
             return
         tables = ModelStore(spark, store_root).load(models)
+        results = evaluate_document(tables, document, lenient=True)
         for spec in document.specifications:
-            report_rows(evaluate_spec(tables, spec), spec).write.mode("overwrite").parquet(f"{out}/batch={number}/spec={spec.id}")
+            report_rows(results[spec.id], spec).write.mode("overwrite").parquet(f"{out}/batch={number}/spec={spec.id}")
 
     return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
