@@ -148,11 +148,14 @@ restricted("restriction_bounds", "orders", "o_orderkey", "CASE WHEN o_orderkey %
 
 @register(
     "restriction_measure",
-    f"SELECT count(*) AS n, sum(CASE WHEN l_quantity / 1000 BETWEEN {interval(0.025, False)[0]!r} AND {interval(0.025, False)[1]!r} THEN 1 ELSE 0 END)::BIGINT AS n_equal, 0::BIGINT AS n_pattern FROM lineitem",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 1000 BETWEEN {interval(0.025, False)[0]!r} AND {interval(0.025, False)[1]!r} AS equal,
+          l_quantity / 1000 >= 0.01 AND l_quantity / 1000 < 0.02 AS bounded, l_quantity IN (10, 50) AS listed, false AS like_text FROM lineitem""",
 )
 def restriction_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    si = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 1000).alias("si"))
-    return si.agg(F.count("*").alias("n"), F.count_if(matches_measure(F.col("si"), Simple("0.025"))).alias("n_equal"), F.count_if(matches_measure(F.col("si"), Pattern("0.*"))).alias("n_pattern"))
+    """Values in SI units against every kind of restriction; text is not matched with measures."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("si", F.col("l_quantity") / 1000)
+    wanted = {"equal": Simple("0.025"), "bounded": Bounds(0.01, 0.02, True, False), "listed": OneOf(("0.01", "0.05")), "like_text": Pattern("0.*")}
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.coalesce(matches_measure(F.col("si"), r), F.lit(False)).alias(n) for n, r in wanted.items()])
 
 
 # Views
@@ -764,7 +767,7 @@ def mesh_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("content_hash", "SELECT doc_id, sha256(text) AS model_id FROM documents")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("model_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", step.content_id(F.col("text")).alias("model_id"))
 
 
 @register("number_text", f"SELECT event_id, {sql_number('event_type')} AS a, {sql_number('CAST(event_id AS VARCHAR)')} AS b FROM events")

@@ -39,6 +39,10 @@ def short_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 100_000  # Spark's own limit
+
+
 class Scratch:
     """Named Parquet tables that cut lineage and outlive lost executors.
 
@@ -48,6 +52,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
         atexit.register(self._remove, self.root)
 
     def path(self, name: str) -> str:
@@ -59,11 +64,25 @@ class Scratch:
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.load(name, df.schema)
 
+    def save_bucketed(self, df: DataFrame, name: str, column: str, size: int) -> DataFrame:
+        """Write ``df`` in buckets of ``column`` and read it back as a table whose joins by that column do not move it again.
+
+        There is a bucket for BUCKET_BYTES of ``size``, one for each shuffle partition at least, and MOST_BUCKETS at most.
+        """
+        buckets = min(MOST_BUCKETS, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+        table = f"girder_{uuid.uuid4().hex}"
+        with short_shuffles(self.spark):
+            df.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, column).saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
     def load(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             self._remove(self.path(name))
 
     def _remove(self, path: str) -> None:

@@ -89,12 +89,17 @@ def schema_name(text: Column) -> Column:
     return F.when(said != "", said).otherwise("UNKNOWN")
 
 
+def content_id(content: Column) -> Column:
+    """The id of a model: SHA-256 of its file's bytes, in lower-case hex."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(model_id, path, text, schema) of the STEP files below ``path``; a file of no bytes is none."""
     files = spark.read.format("binaryFile").load(path)
     raw = F.col("content").cast("string")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", "ISO-8859-1"))
-    return files.select(F.sha2("content", 256).alias("model_id"), "path", text.alias("text")).withColumn("schema", schema_name(F.col("text")))
+    return files.select(content_id(F.col("content")).alias("model_id"), "path", text.alias("text")).withColumn("schema", schema_name(F.col("text")))
 
 
 def records(texts: DataFrame) -> DataFrame:
