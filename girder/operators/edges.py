@@ -167,11 +167,6 @@ def synthetic_edges(records: DataFrame) -> DataFrame:
     return ruled_edges(records, "synthetic")
 
 
-def classification_edges(records: DataFrame) -> DataFrame:
-    """From what a reference refers to, to the reference."""
-    return ruled_edges(records, "classification")
-
-
 def type_property_edges(records: DataFrame) -> DataFrame:
     return ruled_edges(records, "type")
 

@@ -165,10 +165,6 @@ def decode_arg(arg: Column) -> Column:
     return F.nullif(F.trim(value), F.lit(""))
 
 
-def enum_name(arg: Column) -> Column:
-    return F.when(F.trim(arg).rlike(r"\A\.[A-Za-z0-9_]+\.\z"), F.regexp_extract(F.trim(arg), r"^\.(.*)\.$", 1))
-
-
 def is_empty_text(arg: Column) -> Column:
     return F.trim(arg) == "''"
 
