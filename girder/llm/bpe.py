@@ -1,22 +1,26 @@
 """Byte-level BPE encoding by speculation and verification, and decoding.
 
 A text is cut at special tokens and then into words by the byte-level word pattern. Each distinct word is first
-tokenised by greedy longest match. That guess is the BPE result exactly if every token reproduces itself and
-every adjacent pair of tokens is compatible, that is, if merging the pair's bytes gives the pair again; the
-check runs over all adjacent pairs of a batch's new words at once, against a growing sorted table of judged pairs. Only
-the words that fail are merged exactly, with a heap in O(n log n).
+tokenised by greedy longest match. That guess is the BPE result exactly if every token is what its own bytes merge to and
+every two adjacent tokens are compatible, that is, if merging the pair's bytes gives the pair again.
 
-Bounds: a task keeps about CACHE_WORDS encoded words and MOST_PAIRS judged pairs, and starts afresh beyond that; between tasks a
-worker keeps a cache only up to IDLE_WORDS;
-the vocabulary file is read once per worker from a path that every executor can open.
+All adjacent pairs of a batch's new words are tested at once, without merging anything: the last merges that made the two
+tokens are undone in falling order of rank, which walks down the right edge of the left token's merge tree and the left
+edge of the right one's. If at any time the two tokens at the border have a merge that would have come before the one
+just undone, the pair is not compatible. Only the words that fail are merged exactly, with a heap in O(n log n).
+
+Bounds: a task keeps about CACHE_WORDS encoded words, starts afresh beyond that, and keeps none when it ends;
+the vocabulary file is read once per worker. A path without a folder names a public vocabulary and is resolved in the worker.
 
 Defined cases: null text is encoded as empty text (0 tokens); special tokens in a text become their ids, as in
 the library; repeated rows encode alike; an empty table gives an empty result; other columns are kept by
-``encode`` and ignored by ``digests``. Ids that the vocabulary lacks raise KeyError in ``decode``.
+``encode``, ``decode`` and ``roundtrip``, which replace columns of the names that they make, and ignored by ``digests``.
+Ids that the vocabulary lacks raise KeyError in ``decode``.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -31,11 +35,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_WORDS = 400_000
-IDLE_WORDS = 100_000
+from girder.llm.textkernel import BLOCK, release
+
+CACHE_WORDS = 200_000
 SHORT = 64
 NEVER = 1 << 40
-MOST_PAIRS = 4_000_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 # The white space of Unicode and the public byte-level word pattern.
@@ -73,11 +77,43 @@ class Bpe:
         self.text = {number: str(number) for number in self.bytes}
         self.word = regex.compile(WORD)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._forget()
-
-    def _forget(self) -> None:
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.pairs, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
+        self._trees(max(self.bytes) + 1)
+
+    def _trees(self, size: int) -> None:
+        """Merge trees of the tokens as arrays: rank of the last merge (-1 of a byte), and what it joined."""
+        pairs = np.array([[a, b, r, self.made[r]] for (a, b), r in self.merges.items()], np.int64).reshape(-1, 4)
+        order = np.argsort(pairs[:, 0] << 32 | pairs[:, 1])
+        self.pair_keys, self.pair_ranks = (pairs[:, 0] << 32 | pairs[:, 1])[order], pairs[order, 2]
+        self.rank, self.left, self.right = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for a, b, r, token in pairs[np.argsort(-pairs[:, 2])]:  # of several merges to one token the first counts
+            self.rank[token], self.left[token], self.right[token] = r, a, b
+        whole = np.flatnonzero(self.rank >= 0)
+        self.sound = np.zeros(size, bool)  # tokens that their own bytes merge to
+        self.sound[[self.ids[bytes([k])] for k in range(256) if bytes([k]) in self.ids]] = True
+        fits = self.compatible(self.left[whole], self.right[whole], self.rank[whole])
+        for _ in range(64):
+            now = fits & self.sound[self.left[whole]] & self.sound[self.right[whole]]
+            if (self.sound[whole] == now).all():
+                break
+            self.sound[whole] = now
+
+    def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """Whether the bytes of each two sound tokens merge to just these two, by merges of ranks below ``limit``."""
+        good, at = np.ones(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), NEVER) if limit is None else limit
+        while len(at):
+            key = a << 32 | b
+            place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            early = (self.pair_keys[place] == key) & (self.pair_ranks[place] < limit) if len(self.pair_keys) else np.zeros(len(at), bool)
+            good[at[early]] = False
+            rank_a, rank_b = self.rank[a], self.rank[b]
+            on = ~early & ((rank_a >= 0) | (rank_b >= 0))
+            at, a, b, rank_a, rank_b = at[on], a[on], b[on], rank_a[on], rank_b[on]
+            turn = rank_a > rank_b  # of equal merges the left one came first, so the right one is undone first
+            limit = np.where(turn, rank_a, rank_b + 1)
+            a, b = np.where(turn, self.right[a], a), np.where(turn, b, self.left[b])
+        return good
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: always the pair of least rank, the leftmost first."""
@@ -130,25 +166,6 @@ class Bpe:
             at = end
         return out
 
-    def _judge(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each key (first token * 2**32 + second token, or -1 - token) is compatible."""
-        unique, back = np.unique(keys, return_inverse=True)
-        at = np.searchsorted(self.pairs, unique)
-        known = np.zeros(len(unique), bool)
-        inside = at < len(self.pairs)
-        known[inside] = self.pairs[at[inside]] == unique[inside]
-        verdict = np.zeros(len(unique), bool)
-        verdict[known] = self.good[at[known]]
-        for k in np.flatnonzero(~known):
-            key = int(unique[k])
-            tokens = [-1 - key] if key < 0 else [key >> 32, key & 0xFFFFFFFF]
-            verdict[k] = self.merge(b"".join(self.bytes[t] for t in tokens)) == tokens
-        self.pairs = np.concatenate([self.pairs, unique[~known]])
-        self.good = np.concatenate([self.good, verdict[~known]])
-        order = np.argsort(self.pairs)
-        self.pairs, self.good = self.pairs[order], self.good[order]
-        return verdict[back]
-
     def learn(self, words: Sequence[str]) -> None:
         """Encode distinct new words into the cache."""
         raw = [w.encode() for w in words]
@@ -156,10 +173,12 @@ class Bpe:
         sizes = np.array([len(g) for g in guesses], np.int64)
         flat = np.fromiter(chain.from_iterable(guesses), np.int64, int(sizes.sum()))
         ends = np.cumsum(sizes)
-        keys = np.empty(len(flat), np.int64)  # each token's pair with the next one; a word's last token stands alone
-        keys[:-1] = flat[:-1] << 32 | flat[1:]
-        keys[ends - 1] = -1 - flat[ends - 1]
-        right = np.logical_and.reduceat(self._judge(keys), ends - sizes)
+        fine = self.sound[flat]
+        inner = np.ones(len(flat), bool)  # each token goes with the next one; a word's last token has none
+        inner[ends - 1] = False
+        first = np.flatnonzero(inner)
+        fine[first] &= self.compatible(flat[first], flat[first + 1])
+        right = np.logical_and.reduceat(fine, ends - sizes)
         for k, word in enumerate(words):
             self.cache[word] = tuple(guesses[k] if right[k] else self.merge(raw[k]))
 
@@ -173,8 +192,8 @@ class Bpe:
         return out
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        if len(self.cache) > CACHE_WORDS or len(self.pairs) > MOST_PAIRS:
-            self._forget()
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = {}
         cut = [self._words(text) for text in texts]
         new = set().union(*cut).difference(self.cache)
         for number in [w for w in new if isinstance(w, int)]:
@@ -191,21 +210,26 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
+    if "/" not in path:
+        import public_tokenizers
+
+        path = public_tokenizers.path(path)
     return Bpe(path)
 
 
 @contextmanager
 def task(path: str) -> Iterator[Bpe]:
-    """The worker's encoder, which lets go of a large cache when the task ends: workers outlive tasks and serve other stages."""
+    """The worker's encoder, which forgets its words when the task ends: workers outlive tasks and serve other stages."""
     bpe = load(path)
     try:
         yield bpe
     finally:
-        if len(bpe.cache) > IDLE_WORDS:
-            bpe._forget()
+        bpe.cache = {}
+        gc.collect()
+        release()
 
 
-def _pieces(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def _pieces(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in runs of about ``most`` characters."""
     run: list[str] = []
     first = size = 0
@@ -220,32 +244,56 @@ def _pieces(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[st
         yield first, run
 
 
+def _made(batch: pa.RecordBatch, first: int, rows: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """``rows`` rows of a batch, with new columns behind the others; those of the same names go."""
+    kept = [n for n in batch.schema.names if n not in columns]
+    part = batch.slice(first, rows)
+    return pa.RecordBatch.from_arrays([*[part.column(n) for n in kept], *columns.values()], names=[*kept, *columns])
+
+
+def _schema(df: DataFrame, **columns: T.DataType) -> T.StructType:
+    return T.StructType([*[f for f in df.schema.fields if f.name not in columns], *[T.StructField(n, kind) for n, kind in columns.items()]])
+
+
+_IDS = T.ArrayType(T.IntegerType())
+
+
 def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``documents`` with the column ``ids`` (array of int) of the text's tokens; a column of that name is replaced."""
-    kept = [f for f in documents.schema.fields if f.name != ids]
+    """``documents`` with the column ``ids`` (array of int) of the text's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task(path) as bpe:
             for batch in batches:
                 for first, texts in _pieces(batch.column(text)):
-                    part = batch.slice(first, len(texts))
-                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(bpe.encode(texts), pa.list_(pa.int32()))], names=[*[f.name for f in kept], ids])
+                    yield _made(batch, first, len(texts), {ids: pa.array(bpe.encode(texts), pa.list_(pa.int32()))})
 
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return documents.select(*[f.name for f in kept]).mapInArrow(run, schema)
+    return documents.mapInArrow(run, _schema(documents, **{ids: _IDS}))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "text") -> DataFrame:
-    """``encoded`` with ``text`` made from the ids; null ids give empty text; a column of that name is replaced."""
-    kept = [f for f in encoded.schema.fields if f.name != text]
+    """``encoded`` with ``text`` made from the ids; null ids give empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            made = [bpe.decode(x.as_py() or ()) for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(made, pa.string())], names=[*[f.name for f in kept], text])
+        with task(path) as bpe:
+            for batch in batches:
+                made = [bpe.decode(x.as_py() or ()) for x in batch.column(ids)]
+                yield _made(batch, 0, batch.num_rows, {text: pa.array(made, pa.string())})
+
+    return encoded.mapInArrow(run, _schema(encoded, **{text: T.StringType()}))
+
+
+def roundtrip(documents: DataFrame, path: str) -> DataFrame:
+    """``documents`` with token_ids, the text decoded from them, and n_tokens; one worker does both ways in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task(path) as bpe:
+            for batch in batches:
+                for first, texts in _pieces(batch.column("text")):
+                    made = bpe.encode(texts)
+                    columns = {"token_ids": pa.array(made, pa.list_(pa.int32())), "text": pa.array([bpe.decode(x) for x in made], pa.string()), "n_tokens": pa.array([len(x) for x in made], pa.int64())}
+                    yield _made(batch, first, len(texts), columns)
 
-    return encoded.select(*[f.name for f in kept]).mapInArrow(run, T.StructType([*kept, T.StructField(text, T.StringType())]))
+    return documents.mapInArrow(run, _schema(documents, token_ids=_IDS, text=T.StringType(), n_tokens=T.LongType()))
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:

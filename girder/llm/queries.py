@@ -13,11 +13,11 @@ from girder.llm.jaccard_join import jaccard_components
 from girder.llm.language_id import identify_language
 from girder.llm.quality_classifier import classify_quality
 from girder.llm.quality_rules import apply_quality_rules
-from girder.llm.scratch import Scratch, read
 from girder.llm.suffix_dedup import removed_report
 from girder.llm.toxicity import classify_toxicity
-from girder.llm.warc import plan_records, read_records, write_archives
 from girder.llm.url_filter import filter_urls
+from girder.llm.warc import plan_records, read_records, write_archives
+from girder.scratch import Scratch, read
 
 RULES = (
     ("allow", "com/"),
@@ -56,14 +56,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+#: A public vocabulary; the path is resolved where the file is read.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.digests(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +123,39 @@ met AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d_sets JOIN i_sets USI
 SELECT doc_id, item_id, n_item_shingles, n_shared FROM met JOIN sizes USING (item_id) WHERE 100 * n_shared >= 75 * n_item_shingles
 """
 
+OP5_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)] END) AS shingle FROM words
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM met JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * n_both >= 75 * (s.n + t.n - n_both)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id, coalesce(k.n, 0) AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reached GROUP BY a) c USING (doc_id)
+  LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a) k USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, k, substr(h, 2 * k - 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(1, n - 48)) AS k FROM d)),
+least AS (SELECT win, min(doc_id) AS least FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+cut AS (SELECT doc_id, k, lag(k) OVER o AS before, lead(k) OVER o AS after FROM w JOIN least USING (win) WHERE least < doc_id WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+spans AS (
+  SELECT doc_id, min(k) AS first, max(k) + 49 AS last FROM (
+    SELECT doc_id, k, sum(CASE WHEN before IS NULL OR k > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM cut
+  ) GROUP BY doc_id, span
+),
+edges AS (SELECT doc_id, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS before FROM spans),
+gone AS (
+  SELECT e.doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_spans, max(last) AS last, string_agg(substr(h, 2 * before + 1, 2 * (first - before - 1)), '' ORDER BY first) AS kept
+  FROM edges e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN gone g ON g.doc_id = d.doc_id
+"""
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS hex FROM p),
@@ -152,5 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_benchmark_decontamination": OP2_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
+    "op7_suffix_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
 }

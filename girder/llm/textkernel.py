@@ -7,12 +7,15 @@ All constants are fixed: hashes are equal across tasks, executors and runs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C libraries have it
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _Q = [pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(64)]
@@ -23,18 +26,61 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
+BLOCK = 1 << 19  # bytes that are hashed at once
+
 _powers: list[np.ndarray] = [np.ones(0, U64), np.ones(0, U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
+    """The first n powers of the base and of its inverse modulo 2**64; a worker keeps 2 * BLOCK of them and makes longer runs anew."""
+    if not len(_powers[0]):
         for k, base in enumerate((_P, _P_INV)):
-            step = np.full(size, base, U64)
+            step = np.full(2 * BLOCK, base, U64)
             step[0] = 1
             _powers[k] = np.multiply.accumulate(step)
-    return _powers[0][:n], _powers[1][:n]
+    size = len(_powers[0])
+    if n <= size:
+        return _powers[0][:n], _powers[1][:n]
+    out = []
+    for k, base in enumerate((_P, _P_INV)):
+        steps = np.array([pow(base, size * j, 1 << 64) for j in range(-(-n // size))], U64)
+        out.append((steps[:, None] * _powers[k][None, :]).ravel()[:n])
+    return out[0], out[1]
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Return what the worker has freed to the system: workers outlive their tasks and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow that lets go of its memory when the task ends."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            release()
+
+    return wrapped
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for applyInArrow, at the end of every group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return wrapped
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +109,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole rows with about ``most`` bytes."""
     data, offsets = text_bytes(column)
     row, rows = 0, len(offsets) - 1
@@ -93,14 +139,18 @@ class Words:
 
 
 def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end)."""
-    n = len(data)
-    if not n or not len(starts):
-        return np.zeros(len(starts), U64)
-    power, inverse = powers(n)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((fold[data].astype(U64) + U64(1)) * power, out=sums[1:])
-    value = (sums[ends] - sums[starts]) * inverse[np.minimum(starts, n - 1)]
+    """64-bit hashes of the byte ranges [start, end), whose starts and ends rise; a run of ranges over about BLOCK bytes at a time."""
+    value = np.zeros(len(starts), U64)
+    k = 0
+    while k < len(starts):
+        stop = max(k + 1, int(np.searchsorted(ends, starts[k] + 2 * BLOCK, "right")))
+        a, b = int(starts[k]), int(ends[stop - 1])
+        if b > a:
+            power, inverse = powers(b - a)
+            sums = np.zeros(b - a + 1, U64)
+            np.cumsum((fold[data[a:b]].astype(U64) + U64(1)) * power, out=sums[1:])
+            value[k:stop] = (sums[ends[k:stop] - a] - sums[starts[k:stop] - a]) * inverse[np.minimum(starts[k:stop] - a, b - a - 1)]
+        k = stop
     return mix(value + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
 
 
