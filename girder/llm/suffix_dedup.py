@@ -1,25 +1,29 @@
-"""Exact removal of repeated byte strings by sorted suffix runs and LCP loser trees.
+"""Exact removal of repeated byte strings by a distributed merge sort of front-coded suffix runs.
 
 A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller doc_id. Sorting the
 suffixes at all positions would move each text ``length`` times, so suffixes are sorted at anchors only: every
 window of ``length`` bytes has as its anchor the leftmost least ``GRAM``-byte gram by hash, which depends on
 the window's bytes alone, so equal windows have equal anchors at equal offsets.
 
-1. Exact copies of a text with a smaller id are set aside: they go whole.
+1. Exact copies of a text with a smaller id are set aside before anything is sorted: they go whole.
 2. Every anchor gram's hash is exchanged by bucket; those that occur in two documents or more are named to their
-   documents. Grams that a task sees in two documents itself are sent once, so a common passage does not flood a bucket.
+   documents, as only their suffixes can be equal. Grams that a task sees in two documents itself are sent once, so a common
+   passage does not flood a bucket. A sample of the grams gives the bounds of the suffix ranges.
 3. The named anchors' suffixes (``length`` bytes on, with the bytes before that windows may need) are sorted by
-   each task, front-coded as (common prefix, rest) runs and exchanged by the hash of their gram. Again one
+   each task, front-coded as (common prefix, rest) runs and exchanged by range, so the ranges in turn hold all suffixes
+   in order. A suffix that follows an equal one with equal bytes before it stays where it is: one
    record stands for all documents of a batch that have the same bytes.
-4. A task combines its runs with a loser tree that compares common-prefix lengths first and bytes only behind
-   them. From the merged order and its common prefixes follow, for every offset, the classes of equal windows;
-   windows whose class has a smaller doc_id are named to their documents, which cut the covered bytes.
+4. A task combines the runs of its range with a loser tree that compares common-prefix lengths first and bytes only behind
+   them. From the merged order and its common prefixes follow, for every offset, the classes of equal bytes ahead; sorting the
+   bytes before the anchors backwards gives the classes behind. Windows of equal classes are equal; those whose class
+   has a smaller doc_id are named to their documents, which cut the covered bytes.
 
-The number of buckets grows with the input. Texts move by (doc_id, hash) only, which is even.
+The number of buckets and ranges grows with the input. Texts move by (doc_id, hash) only, which is even; copies of one text
+are met under salts.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep everything; repeats inside one document and
 rows with the same doc_id do not count; a null doc_id keeps its text and removes nothing; an empty table gives
-an empty result. Grams and window classes use 64-bit hashes of bytes; the suffix order compares bytes.
+an empty result. Whole copies are compared by SHA-256 and length; grams are chosen by 64-bit hashes; windows by their bytes.
 """
 
 from __future__ import annotations
@@ -34,14 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from girder.llm.scratch import Scratch
-from girder.llm.textkernel import U64, mix, powers, text_bytes
+from girder.llm.textkernel import U64, mix, powers, text_bytes, tidy, tidy_group
+from girder.scratch import Scratch
 
 GRAM = 20
-PIECE = 1 << 21
-BUCKET_BYTES = 16 << 20
-MOST_GRAMS = 1 << 21
+PIECE = 1 << 19
+BUCKET_BYTES = 4 << 20
+MOST_GRAMS = 1 << 20
 MOST_SUFFIXES = 150_000
+SAMPLE = 1 << 18  # grams that the driver gets, about
+SALTS = 8
 NAMED = "bucket int, batch long, docs binary, counts binary, low binary, high binary, pos binary, doc_id long, mark long, named binary"
 
 
@@ -103,23 +109,40 @@ def pieces(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.
         row = end
 
 
-def name_grams(length: int, gram: int, buckets: int):
-    """A function for mapInArrow: (doc_id, mark, text) to NAMED rows: grams for the buckets, or positions that are known already."""
+def name_grams(length: int, gram: int, buckets: int, rate: float):
+    """A function for mapInArrow: (doc_id, mark, text) to NAMED rows: grams for the buckets, or positions that are known already.
+
+    Rows without a document hold the bytes of sampled grams. Of those that the batch has in two documents or more, whose suffixes
+    will be sorted, each occurrence is taken with chance ``rate``, of the others with an eighth of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
+            whole, starts = text_bytes(batch.column("text"))
             waiting: list[tuple[np.ndarray, ...]] = []
             size = 0
+
+            def sent(whole=whole, starts=starts, ids=ids, marks=marks) -> pa.RecordBatch:
+                row, pos, h = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                order = np.argsort(h, kind="stable")
+                row, pos, h = row[order], pos[order], h[order]
+                many, _ = in_two(h, row)
+                chance = (mix(h ^ mix(marks[row].view(U64) + pos.astype(U64))) >> U64(11)) * 2.0**-53
+                drawn = chance < np.where(many, rate, rate / 8)
+                taken = whole[(starts[row[drawn]] + pos[drawn])[:, None] + np.arange(gram)]
+                return _grams(row, pos, h, many, ids, marks, buckets, taken.tobytes())
+
             for first, data, offsets, start in pieces(batch.column("text"), length):
                 row, pos, _, _, h = anchors(data, offsets, length, gram)
                 waiting.append((row + first, pos - offsets[row] + start, h))
                 size += len(row)
                 if size >= MOST_GRAMS:
-                    yield _grams(waiting, ids, marks, buckets)
-                    waiting, size = [], 0
+                    yield sent()
+                    waiting.clear()
+                    size = 0
             if size:
-                yield _grams(waiting, ids, marks, buckets)
+                yield sent()
 
     return run
 
@@ -127,16 +150,12 @@ def name_grams(length: int, gram: int, buckets: int):
 _NAMED = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *[(c, pa.binary()) for c in ("docs", "counts", "low", "high", "pos")], ("doc_id", pa.int64()), ("mark", pa.int64()), ("named", pa.binary())])
 
 
-def _grams(waiting: list[tuple[np.ndarray, ...]], ids: np.ndarray, marks: np.ndarray, buckets: int) -> pa.RecordBatch:
-    row, pos, h = (np.concatenate(x) for x in zip(*waiting, strict=True))
-    order = np.argsort(h, kind="stable")
-    row, pos, h = row[order], pos[order], h[order]
-    many, _ = in_two(h, row)
+def _grams(row: np.ndarray, pos: np.ndarray, h: np.ndarray, many: np.ndarray, ids: np.ndarray, marks: np.ndarray, buckets: int, drawn: bytes) -> pa.RecordBatch:
     heads = np.ones(len(h), bool)
     heads[1:] = h[1:] != h[:-1]
     send = ~many | heads  # of a gram in two documents one entry goes on, for other tasks to meet
     out = [*named_rows(row[many], pos[many], ids, marks, buckets), *gram_rows(row[send], pos[send], h[send], many[send], ids, marks, buckets)]
-    return pa.RecordBatch.from_pylist(out, _NAMED)
+    return pa.RecordBatch.from_pylist([*out, {"bucket": -1, "named": drawn}], _NAMED)
 
 
 def in_two(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +246,8 @@ RUN = "bucket int, lcp binary, rest binary, left binary, doc binary, mark binary
 _RUN = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("lcp", "rest", "left", "doc", "mark", "pos", "low", "high")], ("doc_id", pa.int64()), ("row_mark", pa.int64()), ("cut", pa.binary())])
 
 
-def suffix_runs(length: int, gram: int, buckets: int):
-    """A function for mapInArrow: (doc_id, mark, named, text) to RUN rows: sorted runs for the buckets, or cuts that are known already."""
+def suffix_runs(length: int, gram: int, splits: np.ndarray):
+    """A function for mapInArrow: (doc_id, mark, named, text) to RUN rows: sorted runs for the ranges between ``splits``, or cuts that are known already."""
     before = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +260,9 @@ def suffix_runs(length: int, gram: int, buckets: int):
                 row, pos, lo, hi, h = anchors(data, offsets, length, gram)
                 place = pos - offsets[row] + start
                 keep = np.zeros(len(row), bool)
-                bounds = np.searchsorted(row, np.arange(len(offsets)))
+                ends = np.searchsorted(row, np.arange(len(offsets)))
                 for k in range(len(offsets) - 1):
-                    a, b = bounds[k], bounds[k + 1]
+                    a, b = ends[k], ends[k + 1]
                     keep[a:b] = np.isin(place[a:b], named[first + k])
                 row, pos, lo, hi, h, place = (x[keep] for x in (row, pos, lo, hi, h, place))
                 padded = np.concatenate([np.zeros(before, np.uint8), data, np.zeros(length, np.uint8)])
@@ -251,38 +270,39 @@ def suffix_runs(length: int, gram: int, buckets: int):
                 waiting.append((row + first, place, pos - hi, pos - lo, h, context))
                 size += len(row)
                 if size >= MOST_SUFFIXES:
-                    yield _runs(waiting, ids, marks, before, length, buckets)
+                    yield _runs(waiting, ids, marks, before, length, gram, splits)
                     waiting, size = [], 0
             if size:
-                yield _runs(waiting, ids, marks, before, length, buckets)
+                yield _runs(waiting, ids, marks, before, length, gram, splits)
 
     return run
 
 
-def _runs(waiting: list[tuple[np.ndarray, ...]], ids: np.ndarray, marks: np.ndarray, before: int, length: int, buckets: int) -> pa.RecordBatch:
-    row, place, low, high, h, context = (np.concatenate(x) for x in zip(*waiting, strict=True))
+def big_endian(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit numbers that are in the same order."""
+    words = np.zeros((len(x), -(-x.shape[1] // 8) * 8), np.uint8)
+    words[:, : x.shape[1]] = x
+    return words.view(">u8").astype(U64)
+
+
+def _runs(waiting: list[tuple[np.ndarray, ...]], ids: np.ndarray, marks: np.ndarray, before: int, length: int, gram: int, splits: np.ndarray) -> pa.RecordBatch:
+    row, place, low, high, _, context = (np.concatenate(x) for x in zip(*waiting, strict=True))
     # Bytes outside the windows of an anchor do not count; zero them so that equal needs are equal rows.
     column = np.arange(before + length)
     context[(column < before - high[:, None]) | (column >= before + length - low[:, None])] = 0
-    n = len(row)
-    whole = np.concatenate([context, low[:, None].astype(np.uint8), high[:, None].astype(np.uint8)], axis=1)
-    key = row_hashes(whole)
-    order = np.lexsort((ids[row], key))
-    key, doc = key[order], ids[row][order]
-    new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
+    words = np.concatenate([big_endian(context[:, before:]), big_endian(context[:, :before]), (low << 8 | high).astype(U64)[:, None]], axis=1)
+    order = np.lexsort((ids[row], *[words[:, k] for k in range(words.shape[1] - 1, -1, -1)]))
+    words, doc = words[order], ids[row][order]
+    new = np.ones(len(row), bool)
+    new[1:] = (words[1:] != words[:-1]).any(1)
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     later = order[doc > least]  # a smaller document of the batch has the same bytes: all windows go
     every = (np.int64(2) << (high - low)) - 1
+    buckets = len(splits) + 1
     out = [*_cuts(row[later], place[later], low[later], high[later], every[later], ids, marks, buckets)]
     send = order[doc == least]
-    bucket = ((h[send] >> U64(20)) % U64(buckets)).astype(np.int64)
     suffix = np.ascontiguousarray(context[send, before:])
-    words = np.zeros((len(send), -(-length // 8) * 8), np.uint8)
-    words[:, :length] = suffix
-    columns = words.view(">u8")
-    at = np.lexsort((*[columns[:, k] for k in range(columns.shape[1] - 1, -1, -1)], bucket))
-    send, bucket, suffix = send[at], bucket[at], suffix[at]
+    bucket = np.searchsorted(splits, np.ascontiguousarray(suffix[:, :gram]).view(f"S{gram}").ravel(), "right")
     for part in np.split(np.arange(len(send)), np.flatnonzero(np.diff(bucket)) + 1):
         if not len(part):
             continue
@@ -308,13 +328,6 @@ def _runs(waiting: list[tuple[np.ndarray, ...]], ids: np.ndarray, marks: np.ndar
     return pa.RecordBatch.from_pylist(out, _RUN)
 
 
-def row_hashes(x: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(x), U64)
-    for k in range(x.shape[1]):
-        total = total * U64(0x9E3779B97F4A7C15) + x[:, k].astype(U64) + U64(1)
-    return mix(total)
-
-
 def _cuts(row, place, low, high, mask, ids, marks, buckets) -> Iterator[dict]:
     """One row (doc_id, mark, cut) per document: for each anchor the first window's position and the mask of windows from there."""
     order = np.argsort(row, kind="stable")
@@ -440,17 +453,27 @@ def meet_suffixes(length: int, gram: int, buckets: int):
 
 
 def removed_windows(doc, low, high, lcp, left, length: int) -> np.ndarray:
-    """Bit ``high - offset`` of a record is set if its window at that offset occurs in a smaller document."""
+    """Bit ``high - offset`` of a record is set if its window at that offset occurs in a smaller document.
+
+    lcp: common prefixes of the suffixes in their order; left: the bytes before the anchors, which are put in order backwards here.
+    """
     mask = np.zeros(len(doc), np.int64)
-    behind = np.zeros(len(doc), U64)
+    backwards = np.ascontiguousarray(left[:, ::-1])
+    words = big_endian(backwards)
+    order_back = np.lexsort([words[:, k] for k in range(words.shape[1] - 1, -1, -1)]) if words.shape[1] else np.arange(len(doc))
+    backwards = backwards[order_back]
+    common = np.zeros(len(doc), np.int64)
+    differ = backwards[1:] != backwards[:-1]
+    if left.shape[1]:
+        common[1:] = np.where(differ.any(1), differ.argmax(1), left.shape[1])
+    behind = np.zeros(len(doc), np.int64)
     for offset in range(left.shape[1] + 1):
-        if offset:
-            behind = behind * U64(0x9E3779B97F4A7C15) + left[:, -offset].astype(U64) + U64(1)
         use = np.flatnonzero((low <= offset) & (offset <= high))
         if len(use) < 2:
             continue
         ahead = np.cumsum(lcp < length - offset)
-        key = mix(behind[use]) ^ mix(ahead[use].astype(U64) + U64(0x51ED270B))
+        behind[order_back] = np.cumsum(common < offset)
+        key = ahead[use] * (len(doc) + 1) + behind[use]
         order = np.argsort(key)
         key, owner = key[order], doc[use[order]]
         new = np.ones(len(key), bool)
@@ -494,17 +517,23 @@ class SuffixDedup:
         total = keys.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
         buckets = max(16, -(-total // BUCKET_BYTES))
         least = keys.groupBy("sha", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-        copies = save(keys.join(least, ["sha", "n"]).where("doc_id > least").select("doc_id", "mark"), "copies")
+        least = least.select("sha", "n", "least", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+        salted = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        copies = save(salted.join(least, ["sha", "n", "salt"]).where("doc_id > least").select("doc_id", "mark"), "copies")
         self.scratch.drop("keys")
 
-        single = texts.join(copies.hint("shuffle_hash"), ["doc_id", "mark"], "left_anti")
-        sent = single.mapInArrow(name_grams(self.length, self.gram, buckets), NAMED)
-        named = sent.groupBy("bucket").applyInArrow(meet_grams(buckets), "doc_id long, mark long, named binary")
+        single = texts.join(copies.hint("merge"), ["doc_id", "mark"], "left_anti")
+        rate = SAMPLE / max(1, total / 16)  # there is about one anchor to 16 bytes
+        sent = single.mapInArrow(tidy(name_grams(self.length, self.gram, buckets, rate)), NAMED)
+        named = sent.groupBy("bucket").applyInArrow(tidy_group(meet_grams(buckets)), "doc_id long, mark long, named binary")
         named = save(named, "named")
-        per_doc = named.groupBy("doc_id", "mark").agg(F.collect_list("named").alias("named"))
-        joined = texts.join(per_doc.hint("shuffle_hash"), ["doc_id", "mark"]).select("doc_id", "mark", "named", "text")
-        runs = joined.mapInArrow(suffix_runs(self.length, self.gram, buckets), RUN)
-        cuts = runs.groupBy("bucket").applyInArrow(meet_suffixes(self.length, self.gram, buckets), "doc_id long, row_mark long, cut binary")
+        drawn = b"".join(bytes(r[0]) for r in named.where("doc_id IS NULL").select("named").collect())  # about SAMPLE grams
+        grams = np.sort(np.frombuffer(drawn, f"S{self.gram}"))
+        splits = np.unique(grams[np.linspace(0, len(grams) - 1, buckets + 1).astype(int)[1:-1]]) if len(grams) else grams
+        per_doc = named.where("doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.collect_list("named").alias("named"))
+        joined = texts.join(per_doc.hint("merge"), ["doc_id", "mark"]).select("doc_id", "mark", "named", "text")
+        runs = joined.mapInArrow(tidy(suffix_runs(self.length, self.gram, splits)), RUN)
+        cuts = runs.groupBy("bucket").applyInArrow(tidy_group(meet_suffixes(self.length, self.gram, len(splits) + 1)), "doc_id long, row_mark long, cut binary")
         cuts = save(cuts, "cuts")
         self.scratch.drop("named")
         parts = cuts.groupBy("doc_id", F.col("row_mark").alias("mark")).agg(F.collect_list("cut").alias("cuts")).withColumn("whole", F.lit(False))
@@ -520,7 +549,7 @@ class SuffixDedup:
         marked = self.documents.select(*columns).withColumn("girder_text_mark", self.mark)
         right = verdicts.withColumnsRenamed(names)
         on = (marked["doc_id"] == right["girder_doc"]) & (marked["girder_text_mark"] == right["girder_mark"])
-        return marked.join(right.hint("shuffle_hash"), on, "left").drop("girder_doc", "girder_mark", "girder_text_mark")
+        return marked.join(right.hint("merge"), on, "left").drop("girder_doc", "girder_mark", "girder_text_mark")
 
     def report(self) -> DataFrame:
         """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
@@ -537,7 +566,7 @@ class SuffixDedup:
                     digests.append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-        return self._joined(["doc_id", "text"]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return self._joined(["doc_id", "text"]).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
     def cleaned(self) -> DataFrame:
         """The documents with repeated bytes cut from text; of a character that a cut splits, the remaining bytes go too.
@@ -554,7 +583,7 @@ class SuffixDedup:
                 made = pa.array([t if ok else None for t, ok in zip(texts, valid, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([made if n == "text" else batch.column(n) for n in names], names=names)
 
-        return self._joined(names).mapInArrow(run, T.StructType(self.documents.schema.fields))
+        return self._joined(names).mapInArrow(tidy(run), T.StructType(self.documents.schema.fields))
 
 
 def _gone(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
