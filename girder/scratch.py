@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     global _local
     if _local is None:
-        _local = f"file://{tempfile.mkdtemp(prefix='girder-')}"
+        made = tempfile.mkdtemp(prefix="girder-")
+        atexit.register(shutil.rmtree, made, True)
+        _local = f"file://{made}"
     return _local
 
 
