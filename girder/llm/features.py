@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.llm.textkernel import LOWER, U64, Words, chunks, mix
+from girder.scratch import Scratch
 
 BITS = 16
 SIZE = 1 << BITS
@@ -62,16 +63,20 @@ def families(data: np.ndarray, offsets: np.ndarray) -> list[Family]:
     ]
 
 
-def linear_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+def family_scores(found: list[Family], weights: np.ndarray, bias: float) -> np.ndarray:
     """bias plus, for each family, the mean weight of the row's features."""
-    out = np.full(len(offsets) - 1, bias)
-    for k, (index, first, end) in enumerate(families(data, offsets)):
+    out = np.full(len(found[0][1]), bias)
+    for k, (index, first, end) in enumerate(found):
         sums = np.zeros(len(index) + 1)
         np.cumsum(weights[k * SIZE + index], out=sums[1:])
         out += (sums[end] - sums[first]) / np.maximum(1, end - first)
     return out
 
 
+def linear_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    return family_scores(families(data, offsets), weights, bias)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * np.clip(z, -60, 60)))
 
@@ -88,16 +93,21 @@ def row_features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nda
         yield np.concatenate(index).astype(np.int32), np.concatenate(value).astype(np.float32)
 
 
-def sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, label) to (doc_id, label, index, value); a row has at most FAMILIES * SIZE entries."""
-    for batch in batches:
-        for row, end, data, offsets in chunks(batch.column("text")):
-            pairs = list(row_features(data, offsets))
-            part = batch.slice(row, end - row)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("label"), pa.array([i.tobytes() for i, _ in pairs], pa.binary()), pa.array([v.tobytes() for _, v in pairs], pa.binary())],
-                names=["doc_id", "label", "index", "value"],
-            )
+def sparse_rows(used: np.ndarray):
+    """A function for mapInArrow: (doc_id, text, label) to (doc_id, label, index, value) of the ``used`` features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in chunks(batch.column("text")):
+                index, value = [], []
+                for i, v in row_features(data, offsets):
+                    keep = used[i]
+                    index.append(i[keep].tobytes())
+                    value.append(v[keep].tobytes())
+                part = batch.slice(row, end - row)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "label", "index", "value"])
+
+    return run
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -120,48 +130,85 @@ def labelled_ids(labels: DataFrame, label: str, allowed: Column, per_class: int,
     return out, counts
 
 
-def gather(documents: DataFrame, ids: DataFrame, featurise: Callable, schema: str) -> list:
-    """Featurised rows of the documents in ``ids`` (doc_id, label), which has a proven size bound.
+def take(documents: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, label, text) of the documents in ``ids`` (doc_id, label), which has a proven size bound.
 
-    One row for each id: of repeated documents the smallest features count.
+    One row for each id: of repeated documents the least text counts.
     """
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
-    made = rows.mapInArrow(featurise, schema)
-    names = [c for c in made.columns if c not in ("doc_id", "label")]
-    return made.groupBy("doc_id", "label").agg(F.min(F.struct(*names)).alias("x")).select("doc_id", "label", "x.*").orderBy("doc_id").collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return scratch.save(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
+
+
+def count_features(sample: DataFrame, features: Callable, size: int, least: Column) -> pa.Table:
+    """(index, n0, n1): how many rows labelled 0 and 1 have a feature, where ``least`` holds for these numbers.
+
+    ``features`` gives the distinct feature indices of every row of a chunk. Tasks count what they read, so the driver gets
+    one row for each feature, whatever the texts are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size), np.int64)
+        for batch in batches:
+            labels = batch.column("label").to_numpy()
+            for row, _, data, offsets in chunks(batch.column("text")):
+                for k, index in enumerate(features(data, offsets)):
+                    total[labels[row + k], index] += 1
+        index = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(index), *[pa.array(t[index]) for t in total]], names=["index", "n0", "n1"])
+
+    made = sample.select("label", "text").mapInArrow(run, "index long, n0 long, n1 long")
+    return made.groupBy("index").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(least).toArrow()
+
+
+def gather(documents: DataFrame, ids: DataFrame, least_share: float = 0.01) -> list:
+    """(doc_id, label, index, value) of the documents in ``ids``, with the features that ``least_share`` of them have."""
+    scratch = Scratch(documents.sparkSession, "sample")
+    sample = take(documents, ids, scratch)
+    least = max(2, least_share * sample.count())
+    found = count_features(sample, lambda data, offsets: (i for i, _ in row_features(data, offsets)), FAMILIES * SIZE, F.col("n0") + F.col("n1") >= least)
+    used = np.zeros(FAMILIES * SIZE, bool)
+    used[found["index"].to_numpy()] = True
+    made = sample.mapInArrow(sparse_rows(used), "doc_id long, label int, index binary, value binary").orderBy("doc_id").collect()
+    scratch.drop("sample")
+    return made
 
 
 class Sparse:
-    """Rows of a training sample, with the features that ``least_share`` of them have, scaled to unit root mean square."""
+    """Rows of a training sample, scaled to unit root mean square.
 
-    def __init__(self, rows: list, least_share: float = 0.01):
+    The bytes of a row are let go as it is read: ``rows`` is empty afterwards.
+    """
+
+    def __init__(self, rows: list):
         self.n = len(rows)
-        seen = np.zeros(FAMILIES * SIZE, np.int64)
-        for r in rows:
-            seen[np.frombuffer(r["index"], np.int32)] += 1  # a row names a feature once
-        often = seen >= max(2, least_share * self.n)
-        index, value = [], []
-        for r in rows:  # rare features go before the rows are put together, which bounds the memory of the driver
-            col = np.frombuffer(r["index"], np.int32)
-            keep = often[col]
-            index.append(col[keep])
-            value.append(np.frombuffer(r["value"], np.float32)[keep])
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in index])
-        col = np.concatenate(index) if rows else np.zeros(0, np.int32)
-        val = np.concatenate(value).astype(np.float64) if rows else np.zeros(0)
-        del index, value
-        self.names, self.col = np.unique(col, return_inverse=True)
+        self.lengths = np.array([len(r["index"]) // 4 for r in rows], np.int64)
+        self.col, self.val = np.zeros(self.lengths.sum(), np.int64), np.zeros(self.lengths.sum())
+        used = np.zeros(FAMILIES * SIZE, bool)
+        at = 0
+        for k, n in enumerate(self.lengths.tolist()):
+            self.col[at : at + n] = np.frombuffer(rows[k]["index"], np.int32)
+            self.val[at : at + n] = np.frombuffer(rows[k]["value"], np.float32)
+            used[self.col[at : at + n]] = True
+            rows[k] = None
+            at += n
+        rows.clear()
+        self.names = np.flatnonzero(used)
         self.size = len(self.names)
-        power = np.bincount(self.col, val * val, self.size) / max(1, self.n)
+        self.col = (np.cumsum(used) - 1)[self.col]
+        self.ends = np.cumsum(self.lengths)
+        power = np.bincount(self.col, self.val * self.val, self.size) / max(1, self.n)
         self.scale = 1 / np.sqrt(power + 1e-5)
-        self.val = val * self.scale[self.col]
+        self.val *= self.scale[self.col]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], self.n)
+        sums = np.zeros(len(self.val) + 1)
+        np.cumsum(self.val * w[self.col], out=sums[1:])
+        return sums[self.ends] - sums[self.ends - self.lengths]
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * r[self.row], self.size)
-
+        each = np.repeat(r, self.lengths)
+        each *= self.val
+        return np.bincount(self.col, each, self.size)
 
     def curvature(self, weight: np.ndarray) -> float:
         """Largest eigenvalue of the second moments under row weights, by power iteration."""

@@ -3,12 +3,15 @@
 Trusted positives are the allowed rows labelled 1; unlabelled text is web text without labels. The
 class prior is estimated by best-bin estimation: a first model separates positives from unlabelled text,
 and the prior is the least ratio of unlabelled to positive mass above a threshold, with a margin for
-sampling error. The unlabelled mass is that of all documents without labels but the few that the first model was
-fitted on: they are scored where they are and counted in BINS bins of the score. The final linear model over hashed n-grams minimises the non-negative unbiased risk
-``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` of the logistic loss.
+sampling error. It is estimated twice, by models of either half of the fitted rows on what they have not seen, and
+averaged. The unlabelled mass is that of all documents without labels but those that the model was
+fitted on: they are scored where they are, by both models in one pass, and counted in BINS bins of the score. The final linear
+model over hashed n-grams minimises the non-negative unbiased risk
+``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` of the sigmoid loss; the first models' loss is logistic.
 
-Bounds: at most ``per_class`` positives and as many unlabelled rows are fitted, chosen by a hash of the id, so
-the risk of the final model still takes R_U from a sample; the prior does not. Every document is scored, whole.
+Bounds: at most ``most_positive`` rows labelled 1 and ``most_unlabelled`` unlabelled ones are fitted, chosen by a hash of the
+id, so the risk of the final model takes R_U from a sample; the prior does not. Every document is scored, whole. Unlabelled
+means that no row of the labels names the document; of held-out rows nothing but the id is read.
 
 Defined cases: null text scores as empty text; without positives or unlabelled text every score is 0.5;
 repeated rows score alike; a null doc_id is never learned from and is not held out; an empty table gives an
@@ -25,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.features import FAMILIES, SIZE, Sparse, descend, gather, labelled_ids, linear_scores, sigmoid, sparse_rows
-from girder.llm.textkernel import chunks
+from girder.llm.features import FAMILIES, SIZE, Sparse, descend, families, family_scores, gather, labelled_ids, linear_scores, sigmoid
+from girder.llm.textkernel import chunks, tidy
 
 BINS = 1 << 13
 HIGHEST = 30.0  # of a score, before the sigmoid
-SPARSE = "doc_id long, label int, index binary, value binary"
 
 
 @dataclass
@@ -61,35 +63,45 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     return float(np.clip(u[at] / max(p[at], 1e-9), 0.01, 0.99))
 
 
-def fit_pu(rows: list, count_unlabelled: Callable[[Linear, list], list], decay: float = 1e-4) -> tuple[Linear, float]:
+def fit_pu(rows: list, count_unlabelled: Callable[[list[Linear], list[list]], list[list]], decay: float = 1e-4) -> tuple[Linear, float]:
     """Model and prior from rows labelled 1 (trusted positive) and 0 (unlabelled).
 
-    ``count_unlabelled`` takes the first model and the ids of the unlabelled rows that it has seen, and returns (bin, count)
-    of the scores of all others.
+    ``count_unlabelled`` takes the first models and for each the ids of the unlabelled rows that it has seen, and returns for
+    each (bin, count) of the scores of all others.
     """
     label = np.array([r["label"] for r in rows])
     size = FAMILIES * SIZE
     if not (label == 1).any() or not (label == 0).any():
         return Linear(np.zeros(size), 0.0), 0.5
+    ids = np.array([r["doc_id"] for r in rows])
     x = Sparse(rows)
     share = label.mean()
     weight = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)) / len(label)
-    half = np.arange(len(label)) % 2 == 0  # the prior is estimated on rows that its model has not seen
-
-    def logistic(w, b):
-        r = weight * half * (sigmoid(x.dot(w) + b) - label)
-        return x.back(r) + decay * w, r.sum()
-
-    w, b = descend(logistic, x.size, 0.25 * x.curvature(weight) + decay, 60)
-    z = x.dot(w) + b
-    held = ~half if (~half & (label == 1)).any() else half
-    found = count_unlabelled(Linear(x.unscaled(w), b), [r["doc_id"] for r, seen in zip(rows, half & (label == 0), strict=True) if seen])
-    if found:
-        bins, counts = (np.array(c, np.int64) for c in zip(*found, strict=True))
-    else:  # the model has seen all there is
-        bins = score_bins(z[label == 0])
-        counts = np.ones(len(bins), np.int64)
-    prior = estimate_prior(score_bins(z[held & (label == 1)]), bins, counts=counts)
+    models, margins, seen = [], [], []
+    turn = np.arange(len(label)) % 2
+    for fold in (0, 1):
+        own = turn == fold
+        if len(set(label[own])) < 2:  # too few rows for halves
+            own = np.ones(len(label), bool)
+
+        def logistic(w, b, own=own):
+            r = weight * own * (sigmoid(x.dot(w) + b) - label)
+            return x.back(r) + decay * w, r.sum()
+
+        w, b = descend(logistic, x.size, 0.25 * x.curvature(weight) + decay, 60)
+        z = x.dot(w) + b
+        held = ~own if (~own & (label == 1)).any() else own
+        models.append(Linear(x.unscaled(w), b))
+        margins.append((score_bins(z[held & (label == 1)]), score_bins(z[label == 0])))
+        seen.append(ids[own & (label == 0)].tolist())
+    found = []
+    for (positive, unlabelled), counted in zip(margins, count_unlabelled(models, seen), strict=True):
+        if counted:
+            bins, counts = (np.array(c, np.int64) for c in zip(*counted, strict=True))
+            found.append(estimate_prior(positive, bins, counts=counts))
+        else:  # the model has seen all there is
+            found.append(estimate_prior(positive, unlabelled))
+    prior = float(np.mean(found))
     pos, unl = (label == 1) / max(1, (label == 1).sum()), (label == 0) / max(1, (label == 0).sum())
 
     def non_negative(w, b):
@@ -119,34 +131,39 @@ def score_column(model: Linear):
     return score
 
 
-def bin_column(model: Linear):
-    """A function for mapInArrow: (doc_id, text) to (doc_id, bin) of the scores before the sigmoid."""
+def bin_columns(models: list[Linear]):
+    """A function for mapInArrow: (doc_id, text) to (doc_id, bins) of each model's scores before the sigmoid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = np.zeros(batch.num_rows, np.int32)
+            bins = np.zeros((batch.num_rows, len(models)), np.int32)
             for row, end, data, offsets in chunks(batch.column("text")):
-                bins[row:end] = score_bins(linear_scores(data, offsets, model.weights, model.bias))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bins)], names=["doc_id", "bin"])
+                found = families(data, offsets)
+                for k, model in enumerate(models):
+                    bins[row:end, k] = score_bins(family_scores(found, model.weights, model.bias))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(models)), pa.array(bins.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "bins"])
 
     return run
 
 
-def classify_quality(documents: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", per_class: int = 1500) -> DataFrame:
+def classify_quality(documents: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", most_positive: int = 1500, most_unlabelled: int = 1500) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; ``held_out`` is an expression on doc_id."""
-    positives, _ = labelled_ids(labels, label, ~held_out, per_class, (1,))
+    positives, _ = labelled_ids(labels, label, ~held_out, most_positive, (1,))
     known = labels.select("doc_id").distinct()
     ids = documents.select("doc_id").where(F.col("doc_id").isNotNull())
-    free = ids.join(known, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    free = ids.join(known, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_unlabelled)
     chosen = positives.unionByName(free.withColumn("label", F.lit(0)))
 
-    def count_unlabelled(first: Linear, seen: list) -> list:
-        """(bin, count) of all documents without labels; of repeated documents the least bin counts."""
-        met = documents.sparkSession.createDataFrame([(d,) for d in seen], "doc_id long")
-        rest = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(met), "doc_id", "left_anti")
-        bins = rest.mapInArrow(bin_column(first), "doc_id long, bin int").join(known, "doc_id", "left_anti")
-        return [(r["bin"], r["n"]) for r in bins.groupBy("doc_id").agg(F.min("bin").alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).collect()]
-
-    model, _ = fit_pu(gather(documents, chosen, sparse_rows, SPARSE), count_unlabelled)
-    scored = documents.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(score_column(model), "doc_id long, held_out boolean, score double")
+    def count_unlabelled(models: list[Linear], seen: list[list]) -> list[list]:
+        """(bin, count) of all documents without labels that a model has not seen; of repeated documents the least bin counts."""
+        met = documents.sparkSession.createDataFrame([(d, k) for k, own in enumerate(seen) for d in own], "doc_id long, model int")
+        texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+        bins = texts.mapInArrow(tidy(bin_columns(models)), "doc_id long, bins array<int>").join(known, "doc_id", "left_anti")
+        each = bins.select("doc_id", F.posexplode("bins").alias("model", "bin")).join(F.broadcast(met), ["doc_id", "model"], "left_anti")
+        rows = each.groupBy("doc_id", "model").agg(F.min("bin").alias("bin")).groupBy("model", "bin").agg(F.count("*").alias("n")).collect()
+        return [[(r["bin"], r["n"]) for r in rows if r["model"] == k] for k in range(len(models))]
+
+    model, _ = fit_pu(gather(documents, chosen), count_unlabelled)
+    scored = documents.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(tidy(score_column(model)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.features import FAMILIES, SIZE, Sparse, descend, gather, labelled_ids, sigmoid, sparse_rows
-from girder.llm.quality_classifier import SPARSE, Linear
-from girder.llm.textkernel import SPACE, U64, Words, chunks, mix, ranges_hash, row_sums, windows_hash
+from girder.llm.features import FAMILIES, SIZE, Sparse, descend, gather, labelled_ids, sigmoid
+from girder.llm.quality_classifier import Linear
+from girder.llm.textkernel import SPACE, U64, Words, chunks, mix, ranges_hash, row_sums, tidy, windows_hash
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -137,18 +137,18 @@ def apply_quality_rules(
 ) -> DataFrame:
     """Statistics, base verdict, calibrated probability and final verdict of every document."""
     ids, counts = labelled_ids(labels, label, F.lit(True), per_class)
-    model = fit_calibrated(gather(documents, ids, sparse_rows, SPARSE), counts)
-    return documents.select("doc_id", "text").mapInArrow(judge(model, threshold, least_words, most_repeated_percent), SCHEMA)
+    model = fit_calibrated(gather(documents, ids), counts)
+    return documents.select("doc_id", "text").mapInArrow(tidy(judge(model, threshold, least_words, most_repeated_percent)), SCHEMA)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, threshold: float = 0.5, least_words: int = 10, most_repeated_percent: int = 20) -> DataFrame:
     """The documents that the rules keep, with all their columns; rows are judged where they are."""
     ids, counts = labelled_ids(labels, label, F.lit(True), per_class)
-    run = judge(fit_calibrated(gather(documents, ids, sparse_rows, SPARSE), counts), threshold, least_words, most_repeated_percent)
+    run = judge(fit_calibrated(gather(documents, ids), counts), threshold, least_words, most_repeated_percent)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             verdicts = [part.column("kept") for part in run(iter([batch]))]
             yield batch.filter(pa.chunked_array(verdicts, pa.bool_()).combine_chunks())
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(tidy(keep), documents.schema)
