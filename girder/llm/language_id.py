@@ -5,8 +5,9 @@ grams in both over the root of the product of their set sizes. Landmark texts gi
 ``K(x, landmarks) K(landmarks, landmarks)^(-1/2)``, in which one ridge regression per language is
 fitted against all the others. A batch is scored by two matrix products.
 
-Bounds: about ``per_language`` texts a language are fitted (chosen by a hash of the id) for at most
-MOST_LANGUAGES languages, the most frequent ones; every document is predicted, from its whole text.
+Bounds: about ``per_language`` texts of every language are fitted (chosen by a hash of the id), all languages that occur; every
+language has landmarks of its own, MOST_MARKS each or fewer where languages are many (see :func:`marks_each`). The driver holds
+the fitted texts as packed bits and takes them in blocks. Every document is predicted, from its whole text.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; without anything to learn from all
 are ``und``; ties go to the language that sorts first; repeated rows are predicted alike; a null doc_id is
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.textkernel import LOWER, chunks, row_sums
+from girder.llm.textkernel import LOWER, chunks, row_sums, tidy
 
 GRAMS = 1 << 13
 MOST_ROWS = 256
-MOST_LANGUAGES = 500
+MOST_MARKS, LEAST_MARKS = 40, 4  # landmarks of a language
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -86,25 +87,39 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / sizes
 
 
-def fit(rows: list[tuple[str, bytes]], landmarks: int = 160, ridge: float = 1e-3) -> Model | None:
+def marks_each(languages: int) -> int:
+    """Landmarks of each language: MOST_MARKS for up to 16 languages, then fewer, but never under LEAST_MARKS."""
+    return max(LEAST_MARKS, min(MOST_MARKS, 16 * MOST_MARKS // languages))
+
+
+def _unpack(bits: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+
+
+def fit(rows: list[tuple[str, bytes]], ridge: float = 1e-3) -> Model | None:
     """Model from (language, packed presence bits)."""
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
-    x = np.stack([np.unpackbits(np.frombuffer(bits, np.uint8)) for _, bits in rows]).astype(np.float32)
-    y = np.array([[lang == c for c in languages] for lang, _ in rows], float)
-    turn = {lang: 0 for lang in languages}
-    order = []
-    for k, (lang, _) in enumerate(rows):
-        order.append((turn[lang], k))
-        turn[lang] += 1
-    chosen = [k for _, k in sorted(order)][:landmarks]  # in turn from every language
-    marks = x[chosen]
+    number = {lang: k for k, lang in enumerate(languages)}
+    own = np.array([number[lang] for lang, _ in rows])
+    taken = [0] * len(languages)
+    chosen, each = [], marks_each(len(languages))
+    for k, c in enumerate(own.tolist()):
+        taken[c] += 1
+        if taken[c] <= each:
+            chosen.append(k)
+    marks = _unpack([rows[k][1] for k in chosen])
     value, vector = np.linalg.eigh(kernel(marks, marks).astype(float))
     root = vector * np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0) @ vector.T
-    phi = kernel(x, marks) @ root
-    weight = 1 / (y.sum(0)[y.argmax(1)] * len(languages))
-    coefficients = np.linalg.solve(phi.T * weight @ phi + ridge * np.eye(len(chosen)), phi.T * weight @ y)
+    square, cross = ridge * np.eye(len(chosen)), np.zeros((len(chosen), len(languages)))
+    for at in range(0, len(rows), MOST_ROWS):
+        part = own[at : at + MOST_ROWS]
+        phi = kernel(_unpack([bits for _, bits in rows[at : at + MOST_ROWS]]), marks) @ root
+        weighted = phi / (np.array(taken)[part] * len(languages))[:, None]
+        square += weighted.T @ phi
+        np.add.at(cross.T, part, weighted)
+    coefficients = np.linalg.solve(square, cross)
     return Model(languages, marks, (root @ coefficients).astype(np.float32))
 
 
@@ -136,13 +151,13 @@ def predict(model: Model | None):
 def identify_language(documents: DataFrame, held_out: Column, per_language: int = 300) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; learns from text and non-null lang where not held out."""
     usable = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy("lang").collect()  # one row a language
     model = None
     if counts:
         rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * per_language / r["count"])))])
         draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
         sample = usable.where(draw < F.coalesce(rate[F.col("lang")], F.lit(0.0))).select("doc_id", "lang", "text")
-        rows = sample.mapInArrow(packed, "doc_id long, lang string, bits binary").dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "bits").collect()
+        rows = sample.mapInArrow(tidy(packed), "doc_id long, lang string, bits binary").dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "bits").collect()
         taken: dict[str, int] = {}
         fitted = []
         for r in rows:
@@ -150,4 +165,4 @@ def identify_language(documents: DataFrame, held_out: Column, per_language: int
             if taken[r["lang"]] <= per_language:
                 fitted.append((r["lang"], bytes(r["bits"])))
         model = fit(fitted)
-    return documents.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return documents.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(tidy(predict(model)), "doc_id long, held_out boolean, lang_pred string, score double")
