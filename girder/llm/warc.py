@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 MOST_READ = 8 << 20
 MOST_GAP = 64 << 10
+TASK_BYTES = 16 << 20  # of archives that a task reads, about
+SALTS = 8
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _ID = "urn:page:"
@@ -43,12 +45,15 @@ def base32_digest(payload: bytes) -> str:
 def plan_records(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is null for responses.
 
-    Payloads are grouped by length and SHA-1 with partial aggregation; html itself moves once, by page_id.
+    Payloads are grouped by length and SHA-1 with partial aggregation, and joined back under salts, as one payload may be that of
+    a third of all pages; html itself moves once, by page_id.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     marks = pages.select("page_id", F.sha1(html).alias("mark"), F.length(html).alias("n")).where(F.col("page_id").isNotNull() & (F.col("n") >= least_revisit))
     shared = marks.groupBy("mark", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    revisits = marks.join(shared, ["mark", "n"]).where("page_id < refers_to").select("page_id", "mark", "n", "refers_to").distinct()
+    shared = shared.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = marks.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    revisits = salted.join(shared, ["mark", "n", "salt"]).where("page_id < refers_to").select("page_id", "mark", "n", "refers_to").distinct()
     wanted = pages.select("page_id", "url", "html").withColumns({"mark": F.sha1(html), "n": F.length(html)})
     return wanted.join(revisits, ["page_id", "mark", "n"], "left").select("page_id", "url", "html", "refers_to")
 
@@ -170,5 +175,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True, where
             handle.close()
 
     chosen = index if where is None else index.where(where)
-    parts = chosen.select("file", "offset", "length").withColumn("stripe", F.floor(F.col("offset") / (8 * MOST_READ)))
-    return parts.repartition("file", "stripe").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, RECORDS)
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    parts = chosen.select("file", "offset", "length").withColumn("stripe", F.floor(F.col("offset") / MOST_READ))
+    # Index rows are small and what they stand for is not, so the number of tasks follows from the bytes to be read.
+    return parts.repartition(max(1, -(-total // TASK_BYTES)), "file", "stripe").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, RECORDS)
