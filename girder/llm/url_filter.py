@@ -12,7 +12,7 @@ universe the cascade is exact, so no url row is ever joined with a list.
 
 Size: the lists are driver-side sequences, so level 1 has a fixed number of bits per listed key, and its
 false positive rate falls with the universe, so that each later level holds about as many keys as are
-listed. A level over ``MAX_LEVEL_BITS`` raises instead of growing the plan.
+listed. A level over ``MAX_LEVEL_BITS`` is split by a hash of the key into filters of that size, of which a key asks one.
 
 Defined cases: null url or no ``://`` has empty host and path and the default verdict; an empty path fits
 no rule; repeated rows are judged alike; extra columns of the input are ignored; an empty table
@@ -24,11 +24,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.scratch import Scratch
+from girder.scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_LEVEL_BITS = 1 << 26
@@ -37,8 +39,8 @@ MAX_LEVELS = 64
 
 @dataclass(frozen=True)
 class Level:
-    words: tuple[int, ...]
-    bits: int
+    parts: tuple[tuple[int, ...], ...]  # the words of each part's filter
+    bits: int  # of a part
     hashes: int
     seed: int
 
@@ -71,13 +73,22 @@ def bit_positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column
     return [(first + F.lit(k) * second) % F.lit(bits).cast("long") for k in range(hashes)]
 
 
+def part_of(key: Column, parts: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-seed), key), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+
+
 def in_level(key: Column, level: Level) -> Column:
-    """Whether the level's filter has the key; its words are one folded array literal."""
-    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
-    tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in bit_positions(key, level.bits, level.hashes, level.seed)]
-    out = tests[0]
-    for test in tests[1:]:
-        out = out & test
+    """Whether the level's filter has the key; the words of a part are one folded array literal."""
+    places = bit_positions(key, level.bits, level.hashes, level.seed)
+
+    def test(words: tuple[int, ...]) -> Column:
+        held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+        return reduce(and_, [F.getbit(F.get(held, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in places])
+
+    out = test(level.parts[0])
+    part = part_of(key, len(level.parts), level.seed)
+    for k, words in enumerate(level.parts[1:], 1):
+        out = F.when(part == k, test(words)).otherwise(out)
     return out
 
 
@@ -90,22 +101,22 @@ def in_cascade(key: Column, levels: Sequence[Level]) -> Column:
 
 
 def _encode(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
-    """A Bloom filter of ``keys``; what reaches the driver is its words, bounded by MAX_LEVEL_BITS."""
+    """A Bloom filter of ``keys``; what reaches the driver is its words."""
     hashes = max(1, round(-math.log2(rate)))
-    bits = 64 * max(1, math.ceil(count * hashes / math.log(2) / 64))
-    if bits > MAX_LEVEL_BITS:
-        raise ValueError(f"a level would need {bits} bits; split the list")
+    total = 64 * max(1, math.ceil(count * hashes / math.log(2) / 64))
+    parts = -(-total // MAX_LEVEL_BITS)
+    bits = 64 * -(-total // (64 * parts))
     place = F.explode(F.array(*bit_positions(F.col("key"), bits, hashes, seed)))
     rows = (
-        keys.select(place.alias("bit"))
-        .groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
+        keys.select(part_of(F.col("key"), parts, seed).alias("part"), place.alias("bit"))
+        .groupBy("part", F.shiftright("bit", 6).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("value"))
         .collect()
     )
-    words = [0] * (bits // 64)
-    for word, value in rows:
-        words[word] = value
-    return Level(tuple(words), bits, hashes, seed)
+    words = [[0] * (bits // 64) for _ in range(parts)]
+    for part, word, value in rows:
+        words[part][word] = value
+    return Level(tuple(map(tuple, words)), bits, hashes, seed)
 
 
 def build_cascade(universe: DataFrame, listed: DataFrame, n_listed: int, n_universe: int, scratch: Scratch, name: str) -> list[Level]:
