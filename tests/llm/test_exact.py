@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from girder.llm import bpe, decontaminate, jaccard_join, queries, suffix_dedup, url_filter, warc
 from girder.llm.components import connected_components
-from girder.llm.scratch import Scratch
 from girder.llm.suffix_dedup import merge_runs
+from girder.scratch import Scratch
 from tests.llm.brute import WORD, components, removed, shingles
 from tests.llm.conftest import make_docs, odd_rows, prose
 
@@ -59,6 +60,41 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert sorted(found) == sorted(keys[::17])
 
 
+def test_cascade_over_split_levels(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LEVEL_BITS", 256)
+    keys = [f"site{k}.org/" for k in range(1500)]
+    universe = url_filter.keys_frame(spark, keys)
+    listed = url_filter.keys_frame(spark, keys[::9])
+    levels = url_filter.build_cascade(universe, listed, len(keys[::9]), len(keys), Scratch(spark, "test"), "t")
+    assert len(levels[0].parts) > 2
+    found = [r[0] for r in universe.where(url_filter.in_cascade(F.col("key"), levels)).collect()]
+    assert sorted(found) == sorted(keys[::9])
+
+
+def test_decontamination_in_blocks(spark, odd, monkeypatch):
+    items = [(k, prose(k, 8 + 30 * k)) for k in range(12)] + [(20, prose(5, 30_000)[3000:9000]), (21, "Two\twords"), (22, prose(12, 40))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, kept = (sorted(map(str, f(odd, bench).collect())) for f in (decontaminate.search, decontaminate.clean))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    assert len(list(decontaminate.blocks(bench, 5, 75))) > 3
+    assert sorted(map(str, decontaminate.search(odd, bench).collect())) == whole and len(whole) > 3
+    assert sorted(map(str, decontaminate.clean(odd, bench).collect())) == kept
+
+
+def test_partitions_of_sizes(spark):
+    """Every size class has its own signature; none misses an item that a document contains just so."""
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 3, 7, 8, 60, 500):
+        sets = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(6)]
+        own = decontaminate.Partition(list(range(6)), sets, 75)
+        for k, s in enumerate(sets):
+            need = -(-75 * len(s) // 100)
+            part = np.sort(rng.permutation(s)[:need])
+            noise = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+            assert own.contained(np.unique(np.concatenate([part, noise]))) == [(k, need)]
+            assert own.contained(np.unique(np.concatenate([part[1:], noise]))) == []
+
+
 def test_decontamination(spark, odd, none):
     items = [(1, prose(1, 300)[100:260], None), (2, "two words", None), (3, None, None), (4, "", None), (5, prose(99, 20), None), (6, prose(12, 40), None), (6, prose(12, 40), None)]
     bench = spark.createDataFrame([(i, t) for i, t, _ in items], "item_id long, text string")
@@ -92,8 +128,10 @@ def test_jaccard_components(spark, odd, none):
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in wanted.items() if c == d} | {None}
 
 
-def test_jaccard_random(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+@pytest.mark.parametrize("small", [128, 1])
+def test_jaccard_random(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "PART", 8)
     rng = random.Random(4)
     rows = []
     for k in range(160):
@@ -101,8 +139,20 @@ def test_jaccard_random(spark, monkeypatch):
         for _ in range(rng.randint(0, 3)):
             words[rng.randrange(len(words))] = rng.choice(["x", "y", "z", "w"])
         rows.append((k, " ".join(words), None))
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(make_docs(spark, rows)).collect()}
-    assert found == components(keyed(rows))
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(make_docs(spark, rows)).collect()}
+    links = Counter(x for pair in linked(keyed(rows)) for x in pair)
+    assert found == {d: (*v, links[d]) for d, v in components(keyed(rows)).items()}
+
+
+def test_jaccard_lists_that_cannot_link(spark):
+    """Many look-alike texts without a link, and a list whose nodes can link by size but mostly do not."""
+    blocks = [" ".join(f"w{b}x{k}" for k in range(9)) for b in range(12)]
+    rng = random.Random(6)
+    rows = [(k, f"the page you asked for cannot be {k}", None) for k in range(400)]
+    rows += [(1000 + k, " ".join(rng.sample(blocks, 5)), None) for k in range(200)]
+    found = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_components(make_docs(spark, rows)).collect()}
+    links = Counter(x for pair in linked(keyed(rows)) for x in pair)
+    assert found == {d: (c, links[d]) for d, (_, c) in components(keyed(rows)).items()}
 
 
 def linked(docs, percent=75):
@@ -159,7 +209,9 @@ def test_components(spark):
 
 
 def path():
-    return queries.tokenizer_path()
+    import public_tokenizers
+
+    return public_tokenizers.path(queries.TOKENIZER)
 
 
 def test_bpe(spark, odd, none):
@@ -169,6 +221,9 @@ def test_bpe(spark, odd, none):
     made = bpe.encode(odd, path())
     for r in made.collect():
         assert list(r.token_ids) == ids[r.doc_id, r.text or ""]
+    both = bpe.roundtrip(odd, path()).collect()
+    assert sorted((r.doc_id or 0, r.text, list(r.token_ids), r.n_tokens) for r in both) == sorted((d or 0, t or "", ids[d, t or ""], len(ids[d, t or ""])) for d, t, _ in odd_rows())
+    assert bpe.encode(none, path()).count() == bpe.roundtrip(none, path()).count() == 0
     back = bpe.decode(made, path()).collect()
     assert sorted((r.text, r.doc_id or 0) for r in back) == sorted((t or "", d or 0) for d, t, _ in odd_rows())
     for r in bpe.digests(odd, path()).where("doc_id = 11").collect():
@@ -177,6 +232,17 @@ def test_bpe(spark, odd, none):
     assert bpe.digests(none, path()).count() == 0
 
 
+def test_bpe_pairs_are_judged_without_merging():
+    model = bpe.Bpe(path())
+    rng = np.random.default_rng(5)
+    tokens = np.flatnonzero(model.sound)
+    a, b = rng.choice(tokens, 4000), rng.choice(tokens, 4000)
+    wanted = [model.merge(model.bytes[x] + model.bytes[y]) == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert model.compatible(a, b).tolist() == wanted and 100 < sum(wanted) < 4000
+    for token in rng.choice(sorted(model.ids.values()), 500).tolist():
+        assert (model.merge(model.bytes[token]) == [token]) == bool(model.sound[token])
+
+
 def test_bpe_random_text():
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(path())
@@ -218,6 +284,17 @@ def test_suffix_dedup_random(spark, monkeypatch, piece):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, gone, spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_over_many_tasks(spark, monkeypatch):
+    """Runs of many tasks meet in many ranges."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 14)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400").repartition(13, "doc_id")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    wanted = removed(rows)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_report(docs).collect()}
+    assert found == {d: (n, gone, spans, hashlib.sha256(kept).hexdigest()) for d, (n, gone, spans, kept) in wanted.items()}
+    assert sum(gone for _, gone, _, _ in found.values()) > 50_000
+
+
 def test_loser_tree():
     rng = random.Random(5)
     runs = []

@@ -59,6 +59,16 @@ def test_quality_rules(spark, odd, none, no_labels):
     assert quality_rules.apply_quality_rules(none, no_labels).count() == 0
 
 
+def test_quality_rules_on_labels_not_fitted(spark):
+    known = labels(spark)
+    out = remainder(F.col("doc_id"), 4) == 2
+    given = spark.read.parquet(f"{SF}/labels.parquet").where(~out)
+    rows = quality_rules.apply_quality_rules(spark.read.parquet(f"{SF}/documents.parquet"), given).collect()
+    held_rows = [r for r in rows if held(r.doc_id, 4, 2) and r.doc_id in known and not r.base_failed]
+    wrong = sum(r.kept != (known[r.doc_id].quality == 1) for r in held_rows)
+    assert len(held_rows) > 50 and wrong / len(held_rows) < 0.05
+
+
 def test_quality_rules_fit_size(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(3200)], "doc_id long, text string")
     given = spark.createDataFrame([(k, k % 2) for k in range(3200)], "doc_id long, quality int")
@@ -106,9 +116,11 @@ def test_prior_counts_all_unlabelled(spark, monkeypatch):
         return met[-1]
 
     monkeypatch.setattr(quality_classifier, "estimate_prior", spy)
-    quality_classifier.classify_quality(docs, given, F.lit(False), per_class=40)
-    assert 600 - 40 <= met[0] <= 600  # all without labels but those that the first model was fitted on
-    assert 0.3 < met[1] < 0.6  # half are like the positives
+    quality_classifier.classify_quality(docs, given, F.lit(False), most_positive=40, most_unlabelled=40)
+    assert len(met) == 4  # the models of both halves
+    for counted, prior in (met[:2], met[2:]):
+        assert 600 - 40 <= counted <= 600  # all without labels but those that the model was fitted on
+        assert 0.3 < prior < 0.6  # half are like the positives
 
 
 def test_toxicity(spark, odd, none, no_labels):
@@ -117,6 +129,13 @@ def test_toxicity(spark, odd, none, no_labels):
     assert all(r.held_out == held(r.doc_id, 5, 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     of = [r for r in rows if r.held_out and r.doc_id in known]
     assert accuracy(of, known, "toxic") > 0.92
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in rows:
+        assert (r.n_toxic_sentences > 0) == (r.worst_sentence is not None) == (r.worst_score is not None)
+        if r.worst_score is not None:
+            assert 0.5 <= r.worst_score <= r.score + 1e-9
+            span = texts[r.doc_id][r.worst_start : r.worst_end]
+            assert span and not set(b".!?\n") & set(span)
     toxic, clean = ([r.score for r in of if known[r.doc_id].toxic == c] for c in (1, 0))
     assert sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean)) > 0.9
     out = remainder(F.col("doc_id"), 5) == 0
@@ -125,6 +144,15 @@ def test_toxicity(spark, odd, none, no_labels):
     assert toxicity.classify_toxicity(none, no_labels, out).count() == 0
 
 
+def test_toxicity_of_held_out_documents(spark):
+    larger = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    rows = [r for r in queries.op9_toxicity(spark, larger).select("doc_id", "held_out", "predicted").collect() if r.held_out and r.doc_id in toxic]
+    caught = sum(r.predicted and toxic[r.doc_id] for r in rows)
+    assert caught / sum(toxic[r.doc_id] for r in rows) > 0.7  # recall
+    assert caught / sum(r.predicted for r in rows) > 0.9  # precision
+
+
 def test_toxic_sentences(spark):
     docs = spark.createDataFrame([(k, f"Fine words here. Some {'vile' if k % 2 else 'nice'} stuff{k}! More text?") for k in range(200)], "doc_id long, text string")
     given = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
@@ -148,23 +176,6 @@ def test_language_id(spark, odd, none):
     assert {r.lang_pred for r in language_id.identify_language(unlabelled, out).collect()} == {"und"}
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    from girder.llm.scratch import Scratch
-
-    scratch, kept = Scratch(spark, "test"), []
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        made = scratch.save(stage(spark, docs, "/root/testdata/sf0.001"), str(number))
-        if number < len(corpus_pipeline.STAGES) - 1:
-            assert made.columns == docs.columns
-        kept.append(made.count())
-        docs = made
-    assert kept == sorted(kept, reverse=True) and kept[-1] > 100
-    assert docs.where("n_tokens != size(token_ids)").count() == 0
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     from pathlib import Path
