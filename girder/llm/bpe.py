@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 
 from girder.llm.textkernel import BLOCK, release
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+HEAD = 4  # bytes by which a longest match is bounded
 SHORT = 64
 NEVER = 1 << 40
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -67,9 +68,10 @@ class Bpe:
         self.bytes = {number: token for token, number in vocabulary.items()} | {n: s.encode() for s, n in self.special.items()}
         self.merges: dict[tuple[int, int], int] = {}  # rank of a pair
         self.made: list[int] = []  # what the pair of a rank becomes
-        self.reach: dict[bytes, int] = {}  # longest token by its first two bytes
+        self.reach: dict[bytes, int] = {}  # longest token by its first HEAD bytes
         for token in vocabulary:
-            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
+            if len(token) >= HEAD:
+                self.reach[token[:HEAD]] = max(len(token), self.reach.get(token[:HEAD], 0))
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = (bytes(letters[c] for c in part) for part in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merges.setdefault((vocabulary[left], vocabulary[right]), rank)
@@ -157,11 +159,12 @@ class Bpe:
 
     def guess(self, word: bytes) -> list[int]:
         """Greedy longest match."""
+        find, reach = self.ids.get, self.reach.get
         out, at, n = [], 0, len(word)
         while at < n:
-            for end in range(min(n, at + self.reach.get(word[at : at + 2], 1)), at, -1):
-                if (found := self.ids.get(word[at:end])) is not None:
-                    break
+            end = min(n, at + reach(word[at : at + HEAD], HEAD - 1))
+            while (found := find(word[at:end])) is None:
+                end -= 1
             out.append(found)
             at = end
         return out
