@@ -122,17 +122,18 @@ class Views:
 
     @cached_property
     def predefined_types(self) -> DataFrame:
-        """(model_id, entity_id, pt_enum, pt_user): the predefined type that counts, and the user-defined text beside it.
+        """(model_id, entity_id, pt_enum, pt_user), each entity once: the predefined type that counts, and the user-defined text beside it.
 
-        The type's value counts if it has one other than NOTDEFINED; of several types the least id is taken.
+        The type's value counts if it has one other than NOTDEFINED; of several types the least id is taken. Where rows share an id,
+        those without a value do not count.
         """
         entities = self.tables.entities
         telling = entities.where(F.col("predefined_type").isNotNull() & (F.upper("predefined_type") != "NOTDEFINED"))
-        telling = telling.select("model_id", F.col("entity_id").alias("type_id"))
-        chosen = self.types.join(telling, ["model_id", "type_id"]).groupBy("model_id", "entity_id").agg(F.min("type_id").alias("type_id"))
-        source = entities.select("model_id", "entity_id").join(chosen, ["model_id", "entity_id"], "left")
-        source = source.select("model_id", "entity_id", F.coalesce("type_id", "entity_id").alias("source_id"))
-        enums = entities.select("model_id", F.col("entity_id").alias("source_id"), F.col("predefined_type").alias("pt_enum"))
+        telling = telling.select("model_id", F.col("entity_id").alias("type_id"), F.col("predefined_type").alias("type_enum"))
+        chosen = self.types.join(telling, ["model_id", "type_id"]).groupBy("model_id", "entity_id").agg(F.min(F.struct("type_id", "type_enum")).alias("type"))
+        own = entities.groupBy("model_id", "entity_id").agg(F.min("predefined_type").alias("own_enum"))
+        source = own.join(chosen, ["model_id", "entity_id"], "left")
+        source = source.select("model_id", "entity_id", F.coalesce("type.type_id", "entity_id").alias("source_id"), F.coalesce("type.type_enum", "own_enum").alias("pt_enum"))
         texts = self.tables.attributes.where(F.lower("attr_name").isin("objecttype", "elementtype", "processtype", "resourcetype") & (F.col("value") != ""))
         texts = texts.groupBy("model_id", F.col("entity_id").alias("source_id")).agg(F.min("value").alias("pt_user"))
-        return source.join(enums, ["model_id", "source_id"], "left").join(texts, ["model_id", "source_id"], "left").select("model_id", "entity_id", "pt_enum", "pt_user")
+        return source.join(texts, ["model_id", "source_id"], "left").select("model_id", "entity_id", "pt_enum", "pt_user")

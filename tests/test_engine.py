@@ -56,6 +56,14 @@ def test_facets(spark, facet, wanted):
     assert flags(spark, facet) == wanted
 
 
+def test_predefined_types_of_rows_that_share_an_id(spark):
+    tables = tiny(spark)
+    twin = spark.createDataFrame([("m", 3, "IFCMATERIAL", *[None] * (len(ENTITIES.fields) - 3))], ENTITIES)
+    tables = replace(tables, entities=tables.entities.unionByName(twin))
+    spec = Specification("s", "S", (Entity(Simple("IFCDOOR")),), (Requirement(Entity(Simple("IFCDOOR"), Simple("GATE"))),))
+    assert sorted((r.entity_id, r.req0) for r in spec_frame(tables, spec).collect()) == [(1, True), (2, False)]
+
+
 def test_values_and_reports(spark):
     doc, results = check_ids(tiny(spark), IDS)
     rows = report.document_report(doc, results, {"m": "Model"})
