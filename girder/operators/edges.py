@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.scratch import Scratch
+from girder.scratch import Scratch, growing
 from girder.sources.geometry_classes import GEOMETRY_CLASSES, PLACEMENT_CLASSES
 from girder.sources.step import list_refs, ref_id
 
@@ -174,8 +174,8 @@ def type_property_edges(records: DataFrame) -> DataFrame:
 def between_kept(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges whose two ends are kept."""
     ids = kept.select("model_id", "entity_id")
-    at_subject = edges.join(ids.withColumnRenamed("entity_id", "subject"), ["model_id", "subject"], "left_semi")
-    return at_subject.join(ids.withColumnRenamed("entity_id", "object"), ["model_id", "object"], "left_semi").select(*edges.columns)
+    at_subject = edges.join(growing(ids.withColumnRenamed("entity_id", "subject")), ["model_id", "subject"], "left_semi")
+    return at_subject.join(growing(ids.withColumnRenamed("entity_id", "object")), ["model_id", "object"], "left_semi").select(*edges.columns)
 
 
 def _pair(a: str, b: str) -> list[Column]:

@@ -42,6 +42,15 @@ def short_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that is sorted and merged, never sent through the driver.
+
+    Spark guesses a side's size from the bytes of its files. Parsing makes many records of one row, and Parquet keeps like
+    records in few bytes, so the guess may be hundreds of times too small.
+    """
+    return df.hint("merge")
+
+
 BUCKET_BYTES = 16 << 20
 MOST_BUCKETS = 100_000  # Spark's own limit
 

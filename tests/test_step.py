@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from girder.functions import guid
 from girder.operators import edges, ingest
+from girder.queries import model_records
 from girder.sources import step
 from girder.sources.ifc_schema import from_express, table_of
 
+SF = "/root/testdata/sf0.001"
 DEMO = """ISO-10303-21;
 HEADER;
 FILE_SCHEMA(('IFC4'));
@@ -112,4 +114,15 @@ def test_comments_and_members(spark):
 
 def test_given_schema_goes_first(spark):
     rows = ingest.named_arguments(records(spark), {"IFC4": {"IFCWALL": ("A", "B")}, "IFC4X3": {}}).where("entity_id = 4").orderBy("pos").collect()
-    assert [r.attr_name for r in rows[:3]] == ["A", "B", "[2]"]
\ No newline at end of file
+    assert [r.attr_name for r in rows[:3]] == ["A", "B", "[2]"]
+
+
+def broadcasts(df):
+    """The joins that send a side through the driver, as Spark plans them from its guess of sizes."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+
+
+def test_kept_records_are_never_broadcast(spark):
+    found = broadcasts(edges.named_edges(model_records(spark, SF)))
+    assert found
+    assert all("[rule_type" in line for line in found)  # the table of rules
