@@ -189,7 +189,7 @@ def generic_edges(records: DataFrame, named: DataFrame) -> DataFrame:
     refs = args.select("model_id", "subject", "ord", "arg", F.posexplode(list_refs(F.col("text"))).alias("at", "object")).where("subject != object")
     refs = between_kept(refs, kept).select("*", *_pair("subject", "object"))
     linked = named.select("model_id", *_pair("subject", "object")).distinct()
-    free = refs.join(linked, ["model_id", "low", "high"], "left_anti")
+    free = refs.join(growing(linked), ["model_id", "low", "high"], "left_anti")
     first = free.groupBy("model_id", "low", "high").agg(F.min(F.struct("ord", "arg", "at", "subject", "object")).alias("e"))
     return first.select("model_id", F.col("e.subject").alias("subject"), F.lit("references").alias("predicate"), F.col("e.object").alias("object"))
 

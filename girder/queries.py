@@ -508,7 +508,7 @@ for name, values, maker in (
     ("edges_rel", _REL, edges.relationship_edges),
     ("edges_synthetic", _SYN, edges.synthetic_edges),
     ("edges_type_pset", _TYP, edges.type_property_edges),
-    ("edges_generic", _GEN, lambda r: edges.generic_edges(r, edges.named_edges(r))),
+    ("edges_generic", _GEN, lambda r: edges.edges_of(edges.extract_edges(r), "references")),
     ("edges_profile", f"{_REL}", lambda r: edges.extract_edges(r, "qto")),
     ("edges_all", f"{_REL}, {_SYN}, {_TYP}, {_GEN}", edges.extract_edges),
 ):

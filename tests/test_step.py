@@ -126,3 +126,9 @@ def test_kept_records_are_never_broadcast(spark):
     found = broadcasts(edges.named_edges(model_records(spark, SF)))
     assert found
     assert all("[rule_type" in line for line in found)  # the table of rules
+
+
+def test_linked_pairs_are_never_broadcast(spark, tmp_path):
+    edges.named_edges(model_records(spark, SF)).write.parquet(f"{tmp_path}/named")
+    found = broadcasts(edges.generic_edges(model_records(spark, SF), spark.read.parquet(f"{tmp_path}/named")))
+    assert found == []
