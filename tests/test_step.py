@@ -132,3 +132,7 @@ def test_linked_pairs_are_never_broadcast(spark, tmp_path):
     edges.named_edges(model_records(spark, SF)).write.parquet(f"{tmp_path}/named")
     found = broadcasts(edges.generic_edges(model_records(spark, SF), spark.read.parquet(f"{tmp_path}/named")))
     assert found == []
+
+
+def test_all_edges_are_never_broadcast(spark):
+    assert broadcasts(edges.extract_edges(model_records(spark, SF))) == []
