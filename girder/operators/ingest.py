@@ -15,7 +15,7 @@ from girder.functions.numbers import script_number
 from girder.functions.units import MEASURE_UNIT_TYPE, QUANTITY_UNIT_TYPE, lookup, measure_unit_type, si_factor, unit_label
 from girder.operators.edges import edges_of, edges_of_written, kept_records
 from girder.schema import ATTRIBUTES, BOX, ENTITIES, MESH, PROPERTIES, TIER1, TRIPLES, ModelTables
-from girder.scratch import Scratch
+from girder.scratch import Scratch, growing
 from girder.sources.ifc_schema import LATEST, Table, tables
 from girder.sources.step import cast_name, decode_arg, is_empty_text, list_refs, ref_id
 
@@ -58,13 +58,13 @@ def entity_rows(records: DataFrame, arguments: DataFrame, mesh: DataFrame | None
     wide = arguments.where(F.col("attr_name").isin(_NAMES)).groupBy("model_id", "entity_id").agg(
         *[pick(n).alias(TIER1[n.lower()]) for n in _NAMES]
     )
-    rows = kept_records(records).select("model_id", "entity_id", "ifc_type").join(wide, ["model_id", "entity_id"], "left")
+    rows = kept_records(records).select("model_id", "entity_id", "ifc_type").join(growing(wide), ["model_id", "entity_id"], "left")
     blank = F.filter(F.array(*[F.when(is_empty_text(F.col(c)), F.lit(n)) for n, c in TIER1.items()]), lambda x: x.isNotNull())
     rows = rows.withColumn("empty_attrs", F.when(F.size(blank) > 0, F.concat(F.lit(","), F.array_join(blank, ","), F.lit(","))))
     rows = rows.withColumns({c: F.when(ref_id(F.col(c)).isNull(), decode_arg(F.col(c))) for c in TIER1.values()})
     rows = rows.withColumn("global_id_canonical", canonical(F.col("global_id")))
     if mesh is not None:
-        rows = rows.join(mesh, ["model_id", "entity_id"], "left")
+        rows = rows.join(growing(mesh), ["model_id", "entity_id"], "left")
     else:
         rows = rows.withColumns({c: F.lit(None) for c in (*BOX, *MESH)})
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in ENTITIES.fields])

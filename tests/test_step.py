@@ -136,3 +136,7 @@ def test_linked_pairs_are_never_broadcast(spark, tmp_path):
 
 def test_all_edges_are_never_broadcast(spark):
     assert broadcasts(edges.extract_edges(model_records(spark, SF))) == []
+
+
+def test_entities_are_never_broadcast(spark):
+    assert broadcasts(ingest.ingest(model_records(spark, SF)).entities) == []
