@@ -124,7 +124,7 @@ def unit_table(records: DataFrame) -> DataFrame:
     measures = _argument(records, "IFCMEASUREWITHUNIT", (0, "value"), (1, "unit"))
     measures = measures.select("model_id", F.col("unit_id").alias("by"), script_number(decode_arg(F.col("value"))).alias("times"), ref_id(F.col("unit")).alias("base"))
     bases = plain.select("model_id", F.col("unit_id").alias("base"), F.col("factor").alias("of"))
-    joined = based.join(measures, ["model_id", "by"], "left").join(bases, ["model_id", "base"], "left")
+    joined = based.join(growing(measures), ["model_id", "by"], "left").join(growing(bases), ["model_id", "base"], "left")
     factor = F.when(F.col("times").isNull(), 1.0).otherwise(F.col("times") * F.coalesce("of", F.lit(1.0)))
     converted = joined.select("model_id", "unit_id", decode_arg(F.col("type")).alias("unit_type"), F.coalesce(decode_arg(F.col("name")), F.lit("UNIT")).alias("label"), factor.alias("factor"))
     return plain.unionByName(converted)
@@ -133,7 +133,7 @@ def unit_table(records: DataFrame) -> DataFrame:
 def default_units(records: DataFrame, units: DataFrame) -> DataFrame:
     """(model_id, unit_type, label, factor) of the assigned units; of several of a type the last one counts."""
     assigned = records.where("ifc_type = 'IFCUNITASSIGNMENT'").select("model_id", "ord", F.posexplode(list_refs(F.get("arg_list", F.lit(0)))).alias("at", "unit_id"))
-    found = assigned.join(units, ["model_id", "unit_id"]).where("unit_type IS NOT NULL")
+    found = assigned.join(growing(units), ["model_id", "unit_id"]).where("unit_type IS NOT NULL")
     last = found.groupBy("model_id", "unit_type").agg(F.max_by(F.struct("label", "factor"), F.struct("ord", "at")).alias("u"))
     return last.select("model_id", "unit_type", "u.label", "u.factor")
 
@@ -171,7 +171,7 @@ def with_units(values: DataFrame, records: DataFrame) -> DataFrame:
     """Values with value_num, value_si and unit: the named unit, else the model's default for the measure."""
     units = unit_table(records)
     explicit = units.select("model_id", F.col("unit_id").alias("unit_ref"), F.col("label").alias("own_label"), F.col("factor").alias("own_factor"))
-    joined = values.join(explicit, ["model_id", "unit_ref"], "left").join(default_units(records, units), ["model_id", "unit_type"], "left")
+    joined = values.join(growing(explicit), ["model_id", "unit_ref"], "left").join(growing(default_units(records, units)), ["model_id", "unit_type"], "left")
     number = script_number(F.col("value"))
     return joined.withColumns({"value_num": number, "value_si": number * F.coalesce("own_factor", "factor", F.lit(1.0)), "unit": F.coalesce("own_label", "label")})
 
@@ -180,14 +180,14 @@ def property_rows(records: DataFrame, entities: DataFrame, triples: DataFrame, a
     """The properties table: element to property set to property, one row per value."""
     sets = edges_of(triples, "IfcRelDefinesByProperties", "hasPropertySet").select("model_id", F.col("subject").alias("entity_id"), F.col("object").alias("set_id"))
     named = entities.select("model_id", F.col("entity_id").alias("set_id"), F.coalesce("name", "ifc_type").alias("pset_name"), F.upper("ifc_type").alias("set_type"))
-    owned = sets.join(named, ["model_id", "set_id"])
+    owned = sets.join(growing(named), ["model_id", "set_id"])
     members = edges_of(triples, "hasProperty", "hasQuantity").select("model_id", F.col("subject").alias("set_id"), F.col("object").alias("prop_id"))
     values = with_units(authored_values(records), records).where("property_name IS NOT NULL")
-    listed = owned.where(~F.col("set_type").isin(*PREDEFINED_SETS)).join(members, ["model_id", "set_id"]).join(values, ["model_id", "prop_id"])
+    listed = owned.where(~F.col("set_type").isin(*PREDEFINED_SETS)).join(growing(members), ["model_id", "set_id"]).join(growing(values), ["model_id", "prop_id"])
     listed = listed.withColumn("data_type", F.col("measure"))
     own = attribute_rows(arguments.where(F.col("ifc_type").isin(*PREDEFINED_SETS) & ~F.lower("attr_name").isin(*BOOKKEEPING)))
     own = own.where((F.col("value") != "") & ~F.startswith("value", F.lit("#"))).select("model_id", F.col("entity_id").alias("set_id"), F.col("attr_name").alias("property_name"), "value")
-    fixed = owned.where(F.col("set_type").isin(*PREDEFINED_SETS)).join(own, ["model_id", "set_id"])
+    fixed = owned.where(F.col("set_type").isin(*PREDEFINED_SETS)).join(growing(own), ["model_id", "set_id"])
     number = script_number(F.col("value"))
     fixed = fixed.withColumns({"value_num": number, "value_si": number, "unit": F.lit(None).cast("string"), "data_type": F.lit(None).cast("string")})
     names = [f.name for f in PROPERTIES.fields]

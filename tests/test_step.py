@@ -140,3 +140,7 @@ def test_all_edges_are_never_broadcast(spark):
 
 def test_entities_are_never_broadcast(spark):
     assert broadcasts(ingest.ingest(model_records(spark, SF)).entities) == []
+
+
+def test_properties_are_never_broadcast(spark):
+    assert broadcasts(ingest.ingest(model_records(spark, SF)).properties) == []
