@@ -295,6 +295,23 @@ def test_suffix_dedup_over_many_tasks(spark, monkeypatch):
     assert sum(gone for _, gone, _, _ in found.values()) > 50_000
 
 
+def test_suffix_dedup_tells_parts_not_documents(spark, monkeypatch):
+    """What buckets and ranges tell is a row for each part of the documents, however many documents they know of."""
+    made, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert suffix_dedup.removed_report(docs).where("n_removed > 0").count() > 100
+    parts, buckets = 16, 16  # the least numbers of both
+    assert 0 < made["named"] <= parts * (buckets + 1) + 32  # and a row for each batch of sampled grams
+    assert 0 < made["cuts"] <= parts * (buckets + 1)
+
+
 def test_loser_tree():
     rng = random.Random(5)
     runs = []
