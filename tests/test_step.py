@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from girder.functions import guid
 from girder.operators import edges, ingest
 from girder.queries import model_records
+from girder.scratch import Scratch
 from girder.sources import step
 from girder.sources.ifc_schema import from_express, table_of
 
@@ -138,6 +139,28 @@ def test_all_edges_are_never_broadcast(spark):
     assert broadcasts(edges.extract_edges(model_records(spark, SF))) == []
 
 
+def test_all_steps_of_all_edges_run_without_broadcasts_of_records(spark, monkeypatch):
+    """The plans as they ran, those of the written steps included."""
+    ran, save = [], Scratch.save
+
+    def run(df):
+        df.collect()
+        assert "isFinalPlan=true" in df._jdf.queryExecution().executedPlan().toString()
+        ran.append(broadcasts(df))
+
+    def watched(self, df, name):
+        if name != "records":  # a plan without joins
+            run(df)
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    run(edges.extract_edges(model_records(spark, SF)))
+    named, last = ran
+    assert named
+    assert all("[rule_type" in line for line in named)  # the table of rules
+    assert last == []
+
+
 def test_entities_are_never_broadcast(spark):
     assert broadcasts(ingest.ingest(model_records(spark, SF)).entities) == []
 
